@@ -82,7 +82,14 @@ def quantiles(
     df: DataFrame, by: list[str], value: str, probs: dict[str, float], per_task: int | None = None
 ) -> DataFrame:
     """Exact linear-interpolated quantiles, one row per group that has a value."""
-    ordered = running_totals(tally(df, by, value), by, value, ["n"], per_task=per_task)
+    return quantiles_of_counts(tally(df, by, value), by, value, probs, per_task)
+
+
+def quantiles_of_counts(
+    counted: DataFrame, by: list[str], value: str, probs: dict[str, float], per_task: int | None = None
+) -> DataFrame:
+    """Quantiles from one row per (group, value) with its number of rows ``n``."""
+    ordered = running_totals(counted, by, value, ["n"], per_task=per_task)
 
     def covers(position: Column) -> Column:
         return (F.col("before_n") <= position) & (position < F.col("before_n") + F.col("n"))
