@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from annalis.catalog.registry import CTES
 from annalis.functions.scalar import canonical_category, flag_public
 from annalis.operators import shifts, structure
+from annalis.session import staged
 from annalis.spec import PanelSpec
 
 SPEC = PanelSpec(entity="entity", year="year")
@@ -167,6 +168,22 @@ def forecast_panel(spark: SparkSession, sf: str) -> DataFrame:
     return shifts.cumulative_rate(d, "dropouts", "n_use", SPEC)
 
 
+def staged_supplier(spark: SparkSession, sf: str) -> DataFrame:
+    return staged(supplier_panel(spark, sf), "panel")
+
+
+def staged_longitudinal(spark: SparkSession, sf: str) -> DataFrame:
+    return staged(longitudinal_panel(spark, sf), "longitudinal")
+
+
+def staged_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return staged(counts_panel(spark, sf), "counts")
+
+
+def staged_forecast(spark: SparkSession, sf: str) -> DataFrame:
+    return staged(forecast_panel(spark, sf), "forecast")
+
+
 def _sql_share(k: str, n: str) -> str:
     return f"round(100.0 * {k} / nullif({n}, 0), 1)"
 

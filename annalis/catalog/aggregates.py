@@ -8,6 +8,7 @@ from annalis.catalog import adapters as ad
 from annalis.catalog.adapters import FOLDS, GRADES, SPEC, YEARS
 from annalis.catalog.registry import CTES, query
 from annalis.operators import order, profile, structure
+from annalis.session import staged
 from annalis.spec import PanelSpec
 
 NUMERIC = ["ap", "rp", "ab", "ap_f", "rp_f", "ab_f", "ab_o", "tdi", "atu", "enrolment"]
@@ -94,7 +95,7 @@ DIST = """SELECT target_year, '{c}' AS "column", count({c}) AS n, round(avg({c})
 @query("a8_target_distribution", union_sql(TARGETS, DIST))
 def target_distribution(spark, sf):
     probs = {"median": 0.5, "p75": 0.75, "p10": 0.1, "p90": 0.9}
-    out = profile.target_distribution(ad.longitudinal_panel(spark, sf), ["target_year"], TARGETS, probs)
+    out = profile.target_distribution(ad.staged_longitudinal(spark, sf), ["target_year"], TARGETS, probs)
     return rounded(out, "mean", "sd", *probs)
 
 
@@ -105,7 +106,7 @@ DESC = """SELECT '{c}' AS "column", count({c}) AS n, round(avg({c}), 6) AS mean,
 
 @query("a9_describe", union_sql(NUMERIC, DESC))
 def describe(spark, sf):
-    return rounded(profile.describe(ad.supplier_panel(spark, sf), NUMERIC), "mean", "sd", "p25", "p50", "p75")
+    return rounded(profile.describe(ad.staged_supplier(spark, sf), NUMERIC), "mean", "sd", "p25", "p50", "p75")
 
 
 NULLS_COLS = {"entity": "bigint", "year": "int", "ab": "double", "ab_f": "double", "ab_o": "double", "ab_LAG1": "double", "ab_f_T1": "double", "target_year": "int"}
@@ -123,7 +124,7 @@ def null_profile(spark, sf):
     SELECT "column", count(value) AS distinct_values, CASE WHEN count(value) <= 1 THEN 'constant' ELSE 'near-constant' END AS kind,
     string_agg(CASE WHEN p <= 3 THEN coalesce(value, 'NULL') || '=' || CAST(n AS VARCHAR) END, ';' ORDER BY p) AS top_values FROM r GROUP BY 1""")
 def constant_columns(spark, sf):
-    p = ad.strata_panel(spark, sf).withColumn("one", F.lit(1))
+    p = staged(ad.strata_panel(spark, sf), "strata").withColumn("one", F.lit(1))
     return profile.constant_columns(p.select("entity", "year", "town", "dependency", "ab", "public", "special", "one", "enrolment"))
 
 
@@ -135,7 +136,7 @@ GT = """SELECT {{b}} AS level, '{{b}}' AS grouping_column, '{c}' AS "column", co
     f"""SELECT CAST({b} AS VARCHAR) AS level, '{b}' AS grouping_column, '{c}' AS "column", count({c}) AS n, round(avg({c}), 6) AS mean, round(quantile_cont({c}, 0.5), 6) AS median, max({c}) AS max
     FROM lp GROUP BY 1""" for b in ("public", "location", "dependency") for c in TARGETS))
 def group_target_table(spark, sf):
-    p = ad.longitudinal_panel(spark, sf)
+    p = ad.staged_longitudinal(spark, sf)
     groups = F.array(*[F.struct(F.lit(b).alias("grouping_column"), F.col(b).cast("string").alias("level")) for b in ("public", "location", "dependency")])
     long = p.select(F.explode(groups).alias("g"), *TARGETS).select("g.*", *TARGETS)
     out = profile.target_distribution(long, ["grouping_column", "level"], TARGETS, {"median": 0.5})
@@ -148,7 +149,7 @@ def group_target_table(spark, sf):
     SELECT "column", CAST(sum(CASE WHEN value < low OR value > high THEN 1 ELSE 0 END) AS BIGINT) AS outliers, round(100.0 * sum(CASE WHEN value < low OR value > high THEN 1 ELSE 0 END) / count(*), 2) AS outlier_pct,
     round(any_value(low), 6) AS low, round(any_value(high), 6) AS high FROM v JOIN f USING ("column") GROUP BY 1 HAVING sum(CASE WHEN value < low OR value > high THEN 1 ELSE 0 END) > 0""")
 def iqr_outliers(spark, sf):
-    return rounded(profile.iqr_outliers(ad.supplier_panel(spark, sf), NUMERIC, k=0.5), "low", "high")
+    return rounded(profile.iqr_outliers(ad.staged_supplier(spark, sf), NUMERIC, k=0.5), "low", "high")
 
 
 @query("a14_pearson_with_targets", union_sql(NUMERIC, """SELECT '{c}' AS "column", round(corr({c}, ab_T1), 6) AS ab_T1, round(corr({c}, ab_f_T1), 6) AS ab_f_T1, round(corr({c}, ab_o_T1), 6) AS ab_o_T1 FROM lp"""))
@@ -205,7 +206,7 @@ def year_target_pairs(spark, sf):
 
 @query("a20_mean_median_by_year", union_sql(["ab_f", "ab_o"], """SELECT year, '{c}' AS "column", round(avg({c}), 8) AS mean, round(quantile_cont({c}, 0.5), 8) AS median FROM sp WHERE public = 1 GROUP BY 1"""))
 def mean_median(spark, sf):
-    p = ad.supplier_panel(spark, sf).where(F.col("public") == 1)
+    p = ad.staged_supplier(spark, sf).where(F.col("public") == 1)
     return rounded(profile.mean_median_by(p, ["year"], ["ab_f", "ab_o"]), "mean", "median", digits=8)
 
 
@@ -213,7 +214,7 @@ def mean_median(spark, sf):
     round(avg(CASE WHEN enrolment <= 100 THEN 1 ELSE 0 END), 6) AS up_to_100, """ + ", ".join(f"round(quantile_cont(CAST(enrolment AS DOUBLE), {q}), 6) AS {n}" for n, q in
     (("p10", .1), ("p25", .25), ("p50", .5), ("p75", .75), ("p90", .9))) + " FROM ct")
 def size_distribution(spark, sf):
-    out = structure.size_distribution(ad.counts_panel(spark, sf), "enrolment")
+    out = structure.size_distribution(ad.staged_counts(spark, sf), "enrolment")
     return rounded(out, "up_to_30", "up_to_50", "up_to_100", "p10", "p25", "p50", "p75", "p90")
 
 
@@ -222,7 +223,7 @@ def size_distribution(spark, sf):
     round(sum(dropouts) / sum(sum(dropouts)) OVER (), 6) AS share_dropouts, round(100 * sum(dropouts) / sum(n_use), 6) AS rate
     FROM ct WHERE year = 2000 GROUP BY 1""")
 def stratum_shares(spark, sf):
-    out = structure.stratum_shares(ad.counts_panel(spark, sf).where(F.col("year") == 2000), "stratum", "enrolment")
+    out = structure.stratum_shares(ad.staged_counts(spark, sf).where(F.col("year") == 2000), "stratum", "enrolment")
     return rounded(out, "median_size", "share_entities", "share_enrolment", "share_dropouts", "rate")
 
 
@@ -241,7 +242,7 @@ def stratum_year_matrix(spark, sf):
 @query("a25_denominator_ratio", """SELECT 'all' AS scope, round(avg(CASE WHEN n_rate IS NULL THEN 0 ELSE 1 END), 6) AS reconstructed, round(quantile_cont(CAST(n_rate AS DOUBLE) / enrolment, 0.05), 6) AS p05,
     round(quantile_cont(CAST(n_rate AS DOUBLE) / enrolment, 0.5), 6) AS median, round(quantile_cont(CAST(n_rate AS DOUBLE) / enrolment, 0.95), 6) AS p95 FROM ct""")
 def denominator_ratio(spark, sf):
-    return rounded(structure.denominator_ratio(ad.counts_panel(spark, sf), "enrolment"), "reconstructed", "p05", "median", "p95")
+    return rounded(structure.denominator_ratio(ad.staged_counts(spark, sf), "enrolment"), "reconstructed", "p05", "median", "p95")
 
 
 CTES["prior"] = "\nUNION ALL\n".join(f"""SELECT {f} AS fold, p0, tau2, p0 * (1 - p0) / tau2 AS m FROM (
@@ -266,7 +267,7 @@ CTES["icc_value"] = """SELECT g AS groups, n AS rows, (msb - msw) / (msb + ((n -
 def icc(spark, sf):
     from annalis.operators import shifts
 
-    rows = ad.counts_panel(spark, sf).where(F.col("year") >= 1998)
+    rows = ad.staged_counts(spark, sf).where(F.col("year") >= 1998)
     rows = shifts.demean_within(rows, "ab", ["year"], "centred").withColumn("scope", F.lit("all"))
     return structure.icc_anova(rows, "centred", ["scope"], "entity").select("groups", "rows", F.round("icc", 6).alias("icc"))
 
@@ -277,7 +278,7 @@ def icc(spark, sf):
     SELECT round(vt, 6) AS variance, round(icc, 6) AS icc, round(nb / vt, 6) AS binomial, round(1 - icc - nb / vt, 6) AS transient, round(sqrt(nm), 6) AS noise_sd_median,
     round(100 / sm, 6) AS one_person_points, round(zo, 6) AS zeros_observed, round(ze, 6) AS zeros_expected FROM a, icc_value""")
 def variance_budget(spark, sf):
-    out = structure.variance_budget(ad.counts_panel(spark, sf).where(F.col("year") >= 1998), "ab", SPEC)
+    out = structure.variance_budget(ad.staged_counts(spark, sf).where(F.col("year") >= 1998), "ab", SPEC)
     return rounded(out, *out.columns)
 
 
@@ -345,7 +346,7 @@ def diagonal(spark, sf):
 @query("a35_cross_stage_spearman", f"""SELECT s.year, s.share_with_both, r.rows, r.spearman FROM (SELECT year, round(count(CASE WHEN ab_f IS NOT NULL AND ab_o IS NOT NULL THEN 1 END) / count(ab_o), 6) AS share_with_both FROM sp GROUP BY 1) s
     LEFT JOIN (SELECT year, count(*) AS rows, round(corr(r1, r2), 6) AS spearman FROM (SELECT year, {_rank('ab_f', 'year')} AS r1, {_rank('ab_o', 'year')} AS r2 FROM sp WHERE ab_f IS NOT NULL AND ab_o IS NOT NULL) GROUP BY 1) r USING (year)""")
 def cross_stage(spark, sf):
-    return rounded(profile.cross_stage_spearman(ad.supplier_panel(spark, sf), "ab_f", "ab_o", SPEC), "share_with_both", "spearman")
+    return rounded(profile.cross_stage_spearman(ad.staged_supplier(spark, sf), "ab_f", "ab_o", SPEC), "share_with_both", "spearman")
 
 
 INVENTORY = {"rate": ["AB"], "size": ["ENROLMENT"], "quality": ["TDI", "ATU"]}

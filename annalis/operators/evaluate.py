@@ -141,25 +141,29 @@ def classification_metrics(scored: DataFrame, by: list[str], score: str = "score
     return cut.join(curves, by)
 
 
-def mixed_bits(key: Column, replicate: Column, seed: int) -> Column:
-    """A 32-bit hash of (key, replicate) from whole-number arithmetic, the same in every run and engine."""
-    wide, mul = F.lit(4294967296), F.lit(1540483477)
-    x = (F.pmod(key, F.lit(2147483647)) * mul + replicate * F.lit(668265263) + F.lit(seed)) % wide
+def with_mixed_bits(df: DataFrame, key: Column, replicate: Column, seed: int, out: str) -> DataFrame:
+    """Add a 32-bit hash of (key, replicate) from whole-number arithmetic, the same in every
+    run and engine. Each step is its own projection, so that no step is computed twice."""
+
+    def whole(v: int) -> Column:
+        return F.lit(v).cast("bigint")
+
+    wide, mul, x = whole(4294967296), whole(1540483477), F.col(out)
+    df = df.withColumn(out, (F.pmod(key, whole(2147483647)) * mul + replicate * whole(668265263) + whole(seed)) % wide)
     for shift in (15, 13, 16):
-        x = (x.bitwiseXOR(F.shiftrightunsigned(x, shift)) * mul) % wide
-    return x.bitwiseXOR(F.shiftrightunsigned(x, 15))
+        df = df.withColumn(out, (x.bitwiseXOR(F.shiftrightunsigned(x, shift)) * mul) % wide)
+    return df.withColumn(out, x.bitwiseXOR(F.shiftrightunsigned(x, 15)))
 
 
 # Cumulative Poisson(1) probabilities times 2^32: draws of 0, 1, 2, ... of a bootstrap weight.
 POISSON_STEPS = [1580030169, 3160060337, 3950075422, 4213413783, 4279248373, 4292415291, 4294609777, 4294923275, 4294962462, 4294966816]
 
 
-def resample_weight(key: Column, replicate: Column, seed: int) -> Column:
-    """How often a row is drawn in a replicate: a Poisson(1) count, as in drawing n of n rows with replacement."""
-    bits = mixed_bits(key, replicate, seed)
-    return F.aggregate(
-        F.array(*[F.lit(s) for s in POISSON_STEPS]), F.lit(0), lambda acc, s: acc + (bits >= s).cast("int")
-    )
+def with_resample_weight(df: DataFrame, key: Column, replicate: Column, seed: int, out: str) -> DataFrame:
+    """Add how often a row is drawn in a replicate: a Poisson(1) count, as in drawing n of n
+    rows with replacement."""
+    hashed = with_mixed_bits(df, key, replicate, seed, out)
+    return hashed.withColumn(out, reduce(lambda a, b: a + b, [(F.col(out) >= s).cast("int") for s in POISSON_STEPS]))
 
 
 def bootstrap_ci(
@@ -175,7 +179,8 @@ def bootstrap_ci(
     drawn = pred.select(
         *by, e.alias("_e"), F.col(y).alias("_y"), whole.cast("bigint").alias("_k"),
         F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("_r"),
-    ).withColumn("_w", resample_weight(F.col("_k"), F.col("_r"), seed))
+    )
+    drawn = with_resample_weight(drawn, F.col("_k"), F.col("_r"), seed, "_w")
     w, t, err = F.col("_w"), F.col("_y"), F.col("_e")
     sums = drawn.where(w > 0).groupBy(*by, "_r").agg(
         F.sum(w).alias("w"), F.sum(w * F.abs(err)).alias("ae"), F.sum(w * err * err).alias("se"),
@@ -384,5 +389,5 @@ def three_way_split(df: DataFrame, target_year: str, years: list[int]) -> DataFr
 def random_split(df: DataFrame, key: list[str], share: float = 0.2, seed: int = 42) -> DataFrame:
     """Deterministic random split by a hash of the key: the same rows on every run and retry."""
     whole = reduce(lambda a, b: a * F.lit(31) + b, [F.pmod(F.col(k).cast("bigint"), F.lit(1_000_003)) for k in key])
-    bucket = mixed_bits(whole, F.lit(0), seed) % 10_000
-    return df.withColumn("part", F.when(bucket < int(share * 10_000), "test").otherwise("train"))
+    hashed = with_mixed_bits(df, whole, F.lit(0), seed, "part")
+    return hashed.withColumn("part", F.when(F.col("part") % 10_000 < int(share * 10_000), "test").otherwise("train"))

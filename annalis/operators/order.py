@@ -18,6 +18,13 @@ from annalis.functions.scalar import ratio
 
 VALUES_PER_TASK = 1_000_000
 MAX_RANGES = 2_000
+BYTES_PER_TASK = 64 << 20
+
+
+def surely_small(df: DataFrame) -> bool:
+    """Spark's own size estimate, as used for broadcast decisions, fits one task."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= BYTES_PER_TASK
 
 
 def tally(df: DataFrame, by: list[str], value: str, sums: dict[str, Column] | None = None) -> DataFrame:
@@ -28,9 +35,12 @@ def tally(df: DataFrame, by: list[str], value: str, sums: dict[str, Column] | No
 
 def value_ranges(counted: DataFrame, value: str, per_task: int | None = None) -> list[float]:
     """Cut points between value ranges; none when one task can hold all distinct values.
+    Tables that Spark estimates to be small are not counted.
 
     Any cut points give the same result, so approximate percentiles are enough.
     """
+    if per_task is None and surely_small(counted):
+        return []
     per_task = per_task or VALUES_PER_TASK
     rows = counted.count()
     if rows <= per_task:

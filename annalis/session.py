@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "annalis", master: str | None = None, **conf: str) -> SparkSession:
@@ -36,3 +36,14 @@ def shared_folder(spark: SparkSession, label: str) -> str:
             raise RuntimeError("spark.checkpoint.dir must name a folder that every executor can reach")
         root = tempfile.mkdtemp(prefix="annalis-")
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """Write a table that several steps read, and read it back.
+
+    The lineage ends at files in the shared folder, so a lost executor only repeats
+    reads, and no step computes the table a second time.
+    """
+    path = shared_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
