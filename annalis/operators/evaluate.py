@@ -182,11 +182,11 @@ def bootstrap_ci(
     )
     drawn = with_resample_weight(drawn, F.col("_k"), F.col("_r"), seed, "_w")
     w, t, err = F.col("_w"), F.col("_y"), F.col("_e")
-    sums = drawn.where(w > 0).groupBy(*by, "_r").agg(
+    sums = drawn.groupBy(*by, "_r").agg(
         F.sum(w).alias("w"), F.sum(w * F.abs(err)).alias("ae"), F.sum(w * err * err).alias("se"),
         F.sum(w * t).alias("sy"), F.sum(w * t * t).alias("syy"),
     )
-    spread = F.col("syy") - F.col("sy") * F.col("sy") / F.col("w")
+    spread = F.col("syy") - ratio(F.col("sy") * F.col("sy"), F.col("w"))
     values = sums.where(spread > 1e-9).select(
         *by, (F.col("ae") / F.col("w")).alias("mae"), (1 - F.col("se") / spread).alias("r2")
     )
