@@ -8,7 +8,7 @@ from annalis import fixed_values as fv
 from annalis.catalog import adapters as ad
 from annalis.catalog.adapters import FOLDS, SPEC
 from annalis.catalog.aggregates import _rank, rounded
-from annalis.catalog.registry import CTES, query
+from annalis.catalog.registry import CTES, ORACLES, query
 from annalis.operators import evaluate as ev
 from annalis.operators import order, ranking
 from annalis.session import staged

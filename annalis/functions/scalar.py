@@ -156,3 +156,8 @@ def reconstruct_denominator(
     found = F.coalesce(search(F.greatest(lo, mid - near), F.least(hi, mid + near)), search(lo, hi))
     usable = ap.isNotNull() & rp.isNotNull() & ab.isNotNull() & (n0 > 0)
     return F.when(usable, found).cast("int")
+
+
+def grade_enrolment(year: Column | str, last_year: int, single: str, parts: list[str]) -> Column:
+    """One column in the last year, otherwise the sum of the parts (NULL when all are NULL)."""
+    return F.when(col(year) == last_year, F.col(single).cast("double")).otherwise(null_skipping_sum(parts))
