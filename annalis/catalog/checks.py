@@ -272,7 +272,7 @@ def same_rows(spark, sf):
 
 @query("q15_input_shape", union(sql_check("input", "column count", "63", "0", "(SELECT count(*) FROM sp)"), sql_check("input", "constant year", "every file", "0", "(SELECT count(*) FROM sp)")))
 def input_shape(spark, sf):
-    return quality.input_shape(sheet_rows(spark, sf), 63, "names", "year", "file")
+    return quality.input_shape(sheet_rows(spark, sf)[0], 63, "cells", "year", "file")
 
 
 @query("q16_exact_columns", union(sql_check("columns", "missing columns", "panel", "1", "(SELECT count(*) FROM sp)"), sql_check("columns", "extra columns", "panel", "0", "(SELECT count(*) FROM sp)")))

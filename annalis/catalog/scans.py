@@ -9,7 +9,7 @@ from annalis.catalog import adapters as ad
 from annalis.catalog.adapters import SPEC
 from annalis.catalog.registry import query
 from annalis.catalog.sheets import HEADER_ROW, MEASURE_RATE, SHEET_YEARS, STAGE_RATE, raw_sheets
-from annalis.functions.scalar import normalise_id
+from annalis.functions.scalar import canonical_category, normalise_id
 from annalis.session import shared_folder, staged
 from annalis.sources import delimited, discover, layouts, raw, stages
 from annalis.streaming import refresh
@@ -115,14 +115,14 @@ def assemble(spark, sf):
 
 
 def headers(spark, sf):
-    cells = staged(raw_sheets(spark, sf), "sheets")
-    cells = raw.normalise_mixed_types(cells)
-    return cells, raw.build_header_names(cells, raw.detect_header(cells))
+    """Raw cells and the staged names per sheet."""
+    cells = raw.normalise_mixed_types(staged(raw_sheets(spark, sf), "sheets"))
+    return cells, staged(raw.build_header_names(cells, raw.detect_header(cells), "year"), "headers")
 
 
 def sheet_rows(spark, sf):
     cells, names = headers(spark, sf)
-    return raw.data_rows(cells, names)
+    return raw.data_rows(cells, names), names
 
 
 @query("s6_detect_header", f"SELECT DISTINCT file, 'Plan1' AS sheet, {HEADER_ROW} AS header_row, CASE WHEN sy >= 2015 THEN 1 ELSE 2 END AS header_lines FROM sheets")
@@ -139,7 +139,8 @@ def header_names(spark, sf):
 
 @query("s8_data_rows", "SELECT file, CAST(entity + 10 AS INT) AS row_no, CAST(entity AS VARCHAR) AS code FROM sheets")
 def data_rows(spark, sf):
-    return sheet_rows(spark, sf).select("file", "row_no", F.get("cells", F.lit(5)).alias("code"))
+    rows, _ = sheet_rows(spark, sf)
+    return rows.select("file", "row_no", F.get("cells", F.lit(5)).alias("code"))
 
 
 @query("s9_dedup_column_names", """SELECT DISTINCT file, CASE WHEN sy <= 2010 THEN 'Aprovação série - 1' WHEN sy <= 2014 THEN 'Aprovação série - 4' WHEN sy <= 2020 THEN 'tap_X3' ELSE '1_CAT_X3' END AS plain, 'again' AS first_name, 'again__1' AS second_name, 'again__2' AS third_name FROM sheets""")
@@ -161,20 +162,26 @@ def mixed_types(spark, sf):
 
 @query("s11_detect_domain_column", """SELECT file, 2 AS pos, "column", CAST(hits AS BIGINT) AS hits FROM (SELECT file, CASE WHEN sy < 2015 THEN 'UF' ELSE 'SG_UF' END AS "column", count(DISTINCT CASE WHEN inside THEN 'RR' ELSE CAST(entity % 7 AS VARCHAR) END) AS hits FROM sheets WHERE sy <= 2016 GROUP BY 1, 2) WHERE hits >= 5""")
 def domain_column(spark, sf):
-    found = raw.detect_domain_column(raw.column_values(sheet_rows(spark, sf)), fv.STATE_CODES)
+    rows, names = sheet_rows(spark, sf)
+    found = raw.detect_domain_column(raw.column_values(rows), names, fv.STATE_CODES)
     return found.select("file", "pos", "column", "hits")
 
 
+def scoped_rows(spark, sf):
+    rows, names = sheet_rows(spark, sf)
+    scope = staged(raw.scope_per_sheet(rows, names), "scope")
+    return raw.filter_entity_scope(rows, scope), names
+
+
 @query("s12_filter_entity_scope", "SELECT file, CAST(entity AS VARCHAR) AS code FROM sheets WHERE inside")
 def scope_filter(spark, sf):
-    rows = staged(sheet_rows(spark, sf), "rows")
-    kept = raw.filter_entity_scope(rows, raw.scope_per_sheet(rows))
+    kept, _ = scoped_rows(spark, sf)
     return kept.select("file", F.get("cells", F.lit(5)).alias("code"))
 
 
 @query("s13_detect_id_column", "SELECT DISTINCT file, CASE WHEN sy <= 2014 THEN 'Código da Escola' ELSE 'CO_ENTIDADE' END AS id_column FROM sheets")
 def id_column(spark, sf):
-    return raw.detect_id_column(sheet_rows(spark, sf), ["file"])
+    return raw.detect_id_column(*sheet_rows(spark, sf)).drop("sheet")
 
 
 @query("s15_read_stage", "SELECT entity, year, ab FROM sp")
@@ -246,8 +253,8 @@ def position_rename(spark, sf):
 @query("s22_ingest_stats", """SELECT file, 63 AS columns, count(*) AS rows, count(*) FILTER (WHERE inside) AS in_scope, CASE WHEN any_value(sy) <= 2016 THEN 'letters' WHEN any_value(sy) = 2019 THEN 'number' ELSE 'name' END AS method,
     CASE WHEN any_value(sy) < 2015 THEN 'UF' WHEN any_value(sy) = 2016 THEN 'SG_UF' WHEN any_value(sy) = 2019 THEN 'CO_UF' ELSE 'NO_UF' END AS "column" FROM sheets GROUP BY 1""")
 def ingest_stats(spark, sf):
-    rows = staged(sheet_rows(spark, sf), "rows")
-    return raw.ingest_stats(rows, raw.scope_per_sheet(rows)).drop("sheet")
+    rows, names = sheet_rows(spark, sf)
+    return raw.ingest_stats(rows, names, staged(raw.scope_per_sheet(rows, names), "scope")).drop("sheet")
 
 
 HARMONISED = ", ".join(f"{MEASURE_RATE[m.name]}{STAGE_RATE[s]} AS \"{m.name}_{s}\"" for m in fv.MEASURE_CODES for s in fv.STAGES)
@@ -255,30 +262,26 @@ HARMONISED = ", ".join(f"{MEASURE_RATE[m.name]}{STAGE_RATE[s]} AS \"{m.name}_{s}
 
 @query("p5_harmonise_layout", f"""SELECT sy AS "ANO", CAST(entity AS VARCHAR) AS "CO_ENTIDADE", name AS "NO_ENTIDADE", town AS "CO_MUNICIPIO", town_name AS "NO_MUNICIPIO", location AS "LOCALIZACAO", dependency AS "DEPENDENCIA", {HARMONISED} FROM sheets WHERE inside""")
 def harmonise(spark, sf):
-    rows = staged(sheet_rows(spark, sf), "rows")
-    return layouts.harmonise(raw.filter_entity_scope(rows, raw.scope_per_sheet(rows)), "year")
+    return layouts.harmonise(*scoped_rows(spark, sf), "year")
 
 
 @query("p6_assert_label", """SELECT sy AS year, 'ABANDONO_FUN_AF' AS rate, 'tab_F58' AS label, count(*) AS rows FROM sheets WHERE sy = 2019 GROUP BY 1""")
 def assert_label(spark, sf):
     """A sheet of 2019 with a label of the years before: the check names the position."""
     cells, names = headers(spark, sf)
-    sheet_year = F.regexp_extract("file", r"(20\d\d)", 1).cast("int")
-    named = names.withColumn("year", sheet_year)
-    layouts.assert_label(named, "year")
-    drifted = named.withColumn("names", F.when(F.col("year") == 2019, F.transform("names", lambda x: F.when(x == "tab_F04", "tab_F58").otherwise(x))).otherwise(F.col("names")))
+    layouts.assert_label(names, "year")
+    drifted = names.withColumn("names", F.when(F.col("year") == 2019, F.transform("names", lambda x: F.when(x == "tab_F04", "tab_F58").otherwise(x))).otherwise(F.col("names")))
     rows = raw.data_rows(cells, names).groupBy("file").agg(F.count(F.lit(1)).alias("rows"))
     return layouts.label_violations(drifted, "year").join(rows, "file").select("year", "rate", "label", "rows")
 
 
 @query("p7_identity_columns", """SELECT sy AS year, CAST(entity AS VARCHAR) AS code, location, dependency FROM sheets""")
 def identity(spark, sf):
-    y = F.col("year")
-    from annalis.functions.scalar import canonical_category
-
-    return sheet_rows(spark, sf).select(
-        "year", normalise_id(layouts.identity_cell(y, "CO_ENTIDADE")).alias("code"), layouts.identity_cell(y, "LOCALIZACAO").alias("location"),
-        canonical_category(layouts.identity_cell(y, "DEPENDENCIA")).alias("dependency"),
+    rows, names = sheet_rows(spark, sf)
+    placed = rows.join(layouts.identity_positions(names, "year"), SHEET_KEYS)
+    return placed.select(
+        "year", normalise_id(layouts.identity_cell("CO_ENTIDADE")).alias("code"), layouts.identity_cell("LOCALIZACAO").alias("location"),
+        canonical_category(layouts.identity_cell("DEPENDENCIA")).alias("dependency"),
     )
 
 
@@ -291,4 +294,4 @@ def _outside_sql():
 
 @query("a5_components_of_sheets", f"SELECT sy AS year, CAST(sum({_outside_sql()}) AS BIGINT) AS outside FROM sheets GROUP BY 1")
 def components(spark, sf):
-    return layouts.totals_outside_components(sheet_rows(spark, sf), "year")
+    return layouts.totals_outside_components(sheet_rows(spark, sf)[0], "year")

@@ -68,27 +68,41 @@ def assert_label(headers: DataFrame, year: str = "ANO") -> None:
         raise LabelError("; ".join(f"{r[year]}: position {r.position} must be {r.rate} but is labelled {r.label!r}" for r in bad))
 
 
-def identity_cell(year: Column, field: str) -> Column:
-    """The cell of an identity column, found by the name it has in the year."""
-    names = F.transform("names", lambda x: normalise_spaces(x))
-    wanted = reduce(
-        lambda acc, p: F.when(year.between(p[0], p[1]), p[2][field]).otherwise(acc), reversed(fv.IDENTITY_NAMES), F.lit(None).cast("string")
-    )
-    at = F.array_position(names, wanted)
-    return F.when(at > 0, F.get("cells", (at - 1).cast("int")))
+IDENTITY = ["CO_ENTIDADE", "NO_ENTIDADE", "CO_MUNICIPIO", "NO_MUNICIPIO", "LOCALIZACAO", "DEPENDENCIA"]
+
+
+def identity_positions(headers: DataFrame, year: str = "ANO") -> DataFrame:
+    """Per sheet the positions of the identity columns, found by the names they have in the year."""
+    y = F.col(year)
+
+    def place(field: str) -> Column:
+        wanted = reduce(
+            lambda acc, p: F.when(y.between(p[0], p[1]), p[2][field]).otherwise(acc), reversed(fv.IDENTITY_NAMES), F.lit(None).cast("string")
+        )
+        return F.array_position("_names", wanted).cast("int")
+
+    clean = headers.withColumn("_names", F.transform("names", lambda x: normalise_spaces(x)))
+    return clean.select("file", "sheet", *[place(f).alias(f"_at_{f}") for f in IDENTITY])
+
+
+def identity_cell(field: str) -> Column:
+    return F.when(F.col(f"_at_{field}") > 0, F.get("cells", F.col(f"_at_{field}") - 1))
+
 
+def harmonise(rows: DataFrame, headers: DataFrame, year: str = "ANO") -> DataFrame:
+    """The selected panel: identity, location, dependency and twelve rates.
 
-def harmonise(rows: DataFrame, year: str = "ANO") -> DataFrame:
-    """The selected panel: identity, location, dependency and twelve rates. A projection, without a shuffle."""
+    A projection of the rows; only the small table of positions per sheet is joined.
+    """
     y = F.col(year)
-    return rows.select(
+    return rows.join(identity_positions(headers, year), ["file", "sheet"]).select(
         y.cast("int").alias("ANO"),
-        normalise_id(identity_cell(y, "CO_ENTIDADE")).alias("CO_ENTIDADE"),
-        F.trim(identity_cell(y, "NO_ENTIDADE")).alias("NO_ENTIDADE"),
-        normalise_id(identity_cell(y, "CO_MUNICIPIO")).alias("CO_MUNICIPIO"),
-        F.trim(identity_cell(y, "NO_MUNICIPIO")).alias("NO_MUNICIPIO"),
-        F.trim(identity_cell(y, "LOCALIZACAO")).alias("LOCALIZACAO"),
-        canonical_category(identity_cell(y, "DEPENDENCIA")).alias("DEPENDENCIA"),
+        normalise_id(identity_cell("CO_ENTIDADE")).alias("CO_ENTIDADE"),
+        F.trim(identity_cell("NO_ENTIDADE")).alias("NO_ENTIDADE"),
+        normalise_id(identity_cell("CO_MUNICIPIO")).alias("CO_MUNICIPIO"),
+        F.trim(identity_cell("NO_MUNICIPIO")).alias("NO_MUNICIPIO"),
+        F.trim(identity_cell("LOCALIZACAO")).alias("LOCALIZACAO"),
+        canonical_category(identity_cell("DEPENDENCIA")).alias("DEPENDENCIA"),
         *[clean_rate_strict(rate_cell(y, m, s)).alias(f"{m.name}_{s}") for m in fv.MEASURE_CODES for s in fv.STAGES],
     )
 
