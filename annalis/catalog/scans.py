@@ -116,7 +116,7 @@ def assemble(spark, sf):
 
 def headers(spark, sf):
     """Raw cells and the staged names per sheet."""
-    cells = raw.normalise_mixed_types(staged(raw_sheets(spark, sf), "sheets"))
+    cells = staged(raw.normalise_mixed_types(raw_sheets(spark, sf)), "sheets")
     return cells, staged(raw.build_header_names(cells, raw.detect_header(cells), "year"), "headers")
 
 

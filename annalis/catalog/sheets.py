@@ -20,15 +20,6 @@ MEASURE_RATE = {"APROVACAO": "ap", "REPROVACAO": "rp", "ABANDONO": "ab"}
 OTHER_STATES = ["AC", "AL", "AM", "PA", "SP", "RJ", "MG"]
 
 
-def rate_columns(layout: str, measure: str) -> list[str]:
-    """Panel columns of the 18 cells of one measure block, in layout order."""
-    m = MEASURE_RATE[measure]
-    grades_ai, grades_af, grades_med = [f"{m}_o"] * 5, [f"{m}_f"] * 4, [f"{m}_f"] * 5
-    if layout == "A":
-        return grades_ai + grades_af + [f"{m}_o", f"{m}_f", m] + grades_med + [f"{m}_f"]
-    return [m, f"{m}_o", f"{m}_f"] + grades_ai + grades_af + [f"{m}_f"] + grades_med
-
-
 def period(table, year):
     return next(row[2] for row in table if row[0] <= year <= row[1])
 
@@ -64,16 +55,12 @@ def header_lines(year: int) -> list[list[str]]:
     return [first + top] if one_line else [first + top, ["·"] * 9 + low]
 
 
-def _array(values: list[str | None]):
-    return F.array(*[F.lit(v).cast("string") for v in values])
-
-
 def raw_sheets(spark, sf) -> DataFrame:
     """(year, file, sheet, row_no, cells) with decoy rows above the header and a blank row below it."""
     p = ad.supplier_panel(spark, sf)
     y, e = F.col("year"), F.col("entity")
     sheet_year = reduce(lambda acc, kv: F.when(y == kv[0], F.lit(kv[1])).otherwise(acc), SHEET_YEARS.items(), F.lit(None).cast("int"))
-    letters = F.when(e % 2 == 0, fv.SCOPE_STATE).otherwise(F.get(_array(OTHER_STATES), (e % 7).cast("int")))
+    letters = F.when(e % 2 == 0, fv.SCOPE_STATE).otherwise(F.get(F.array(*[F.lit(v) for v in OTHER_STATES]), (e % 7).cast("int")))
     state = (
         F.when(y == 2000, F.when(e % 2 == 0, "14").otherwise((e % 3 + 11).cast("string")))
         .when(y == 2001, F.when(e % 2 == 0, "Roraima").otherwise("Amazonas"))
@@ -83,11 +70,20 @@ def raw_sheets(spark, sf) -> DataFrame:
     ids = [sheet_year.cast("string"), F.lit("Norte"), state, F.col("town"), F.concat(F.col("town_name"), F.lit("  ")),
            e.cast("string"), F.concat(F.lit(" "), F.col("name")), F.col("location"), dependency]
 
-    def rates(layout):
-        return [F.coalesce(F.col(c).cast("string"), F.lit(fv.MISSING_MARKER)) for m in fv.MEASURE_CODES for c in rate_columns(layout, m.name)]
+    text = p.select(
+        sheet_year.alias("year"), (e + FIRST_DATA_ROW).cast("int").alias("row_no"), F.array(*ids).alias("ids"),
+        *[F.coalesce(F.col(c).cast("string"), F.lit(fv.MISSING_MARKER)).alias(c) for c in ad.RATES],
+    )
+
+    def block(m, layout):
+        """The 18 cells of one measure: grades repeat the rate of their stage."""
+        ai, af, med = F.array_repeat(f"{m}_o", 5), F.array_repeat(f"{m}_f", 4), F.array_repeat(f"{m}_f", 5)
+        if layout == "A":
+            return F.concat(ai, af, F.array(f"{m}_o", f"{m}_f", m), med, F.array(f"{m}_f"))
+        return F.concat(F.array(m, f"{m}_o", f"{m}_f"), ai, af, F.array(f"{m}_f"), med)
 
-    cells = F.when(sheet_year <= fv.LAST_YEAR_OF_LAYOUT_A, F.array(*ids, *rates("A"))).otherwise(F.array(*ids, *rates("B")))
-    rows = p.select(sheet_year.alias("year"), (e + FIRST_DATA_ROW).cast("int").alias("row_no"), cells.alias("cells"))
+    old, new = (F.concat("ids", *[block(m, x) for m in MEASURE_RATE.values()]) for x in "AB")
+    rows = text.select("year", "row_no", F.when(F.col("year") <= fv.LAST_YEAR_OF_LAYOUT_A, old).otherwise(new).alias("cells"))
     top_rows = []
     for sy in SHEET_YEARS.values():
         lines = [["Taxas de rendimento"] + [None] * 62, [None] * 63, ["Ano", "observação"] + [None] * 61, *header_lines(sy), [None] * 63]
