@@ -268,7 +268,7 @@ def icc(spark, sf):
     from annalis.operators import shifts
 
     rows = ad.staged_counts(spark, sf).where(F.col("year") >= 1998)
-    rows = shifts.demean_within(rows, "ab", ["year"], "centred").withColumn("scope", F.lit("all"))
+    rows = shifts.demean_within(rows, "ab", ["year"], "centred", calendar=True).withColumn("scope", F.lit("all"))
     return structure.icc_anova(rows, "centred", ["scope"], "entity").select("groups", "rows", F.round("icc", 6).alias("icc"))
 
 

@@ -104,7 +104,7 @@ def cumulative_rate(spark, sf):
     "SELECT entity, year, round(ab - avg(ab) OVER (PARTITION BY year), 6) AS centred FROM sp",
 )
 def demean(spark, sf):
-    out = shifts.demean_within(ad.supplier_panel(spark, sf), "ab", ["year"], "centred")
+    out = shifts.demean_within(ad.supplier_panel(spark, sf), "ab", ["year"], "centred", calendar=True)
     return out.select("entity", "year", F.round("centred", 6).alias("centred"))
 
 

@@ -85,26 +85,24 @@ def reconcile_mapped(
     known values in a year do not appear.
     """
 
-    def long(df: DataFrame, key: str, pairs: list[tuple[str, str]], out: str) -> DataFrame:
-        wide = df.select(
-            F.col(year).alias("_y"), normalise_id(key).alias("_id"), *[to_number_lenient(F.col(f"`{c}`")).alias(name) for name, c in pairs]
-        )
-        names = [name for name, _ in pairs]
-        return wide.where(F.col("_id").isNotNull()).unpivot(["_y", "_id"], names, "column", out).where(F.col(out).isNotNull())
-
     names = sorted(mapping)
-    a = long(mine, my_id, [(n, mapping[n]) for n in names], "_mine")
-    b = long(official, official_id, [(n, n) for n in names], "_official")
-    gap = F.abs(F.col("_mine") - F.col("_official"))
-    return (
-        a.join(b, ["_y", "_id", "column"])
-        .groupBy(F.col("_y").alias(year), "column")
-        .agg(
-            F.count(F.lit(1)).alias("compared"),
-            F.sum((gap > tol).cast("bigint")).alias("different"),
-            F.max(gap).alias("largest"),
-        )
-    )
+
+    def wide(df: DataFrame, key: str, source: dict[str, str], mark: str) -> DataFrame:
+        cells = [to_number_lenient(F.col(f"`{source[n]}`")).alias(f"{mark}|{n}") for n in names]
+        return df.select(F.col(year), normalise_id(key).alias("_id"), *cells).where(F.col("_id").isNotNull())
+
+    # The rows are joined as they are and compared column by column in one aggregate, so that
+    # the shuffle carries each row once and not once per column.
+    both = wide(mine, my_id, mapping, "a").join(wide(official, official_id, {n: n for n in names}, "b"), [year, "_id"])
+    sums = []
+    for n in names:
+        gap = F.abs(F.col(f"`a|{n}`") - F.col(f"`b|{n}`"))
+        sums += [F.count(gap).alias(f"n|{n}"), F.sum((gap > tol).cast("bigint")).alias(f"d|{n}"), F.max(gap).alias(f"g|{n}")]
+    cells = [
+        F.struct(F.lit(n).alias("column"), F.col(f"`n|{n}`").alias("compared"), F.col(f"`d|{n}`").alias("different"), F.col(f"`g|{n}`").alias("largest"))
+        for n in names
+    ]
+    return as_rows(both.groupBy(year).agg(*sums), [year], cells).where(F.col("compared") > 0)
 
 
 def key_set_diff(a: DataFrame, b: DataFrame, year: str, key: str, examples: int = 5) -> DataFrame:

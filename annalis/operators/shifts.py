@@ -66,10 +66,12 @@ def recent_mean(c: str, rows: int, spec: PanelSpec) -> Column:
     return row_mean([F.col(c), *[row_lag(c, k, spec) for k in range(1, rows)]])
 
 
-def demean_within(df: DataFrame, c: str, by: list[str], out: str) -> DataFrame:
+def demean_within(df: DataFrame, c: str, by: list[str], out: str, calendar: bool = False) -> DataFrame:
     """Value minus the mean of its group. The group means are aggregated first and joined
-    back, so a large group is never sorted in one task."""
+    back, so a large group is never sorted in one task. ``calendar`` says that the groups are
+    years: their means are then broadcast, otherwise Spark decides by size."""
     means = df.groupBy(*by).agg(F.avg(c).alias("_mean"))
+    means = F.broadcast(means) if calendar else means
     return df.join(means, by).withColumn(out, F.col(c) - F.col("_mean")).drop("_mean")
 
 

@@ -157,8 +157,8 @@ def variance_budget(df: DataFrame, rate: str, spec: PanelSpec) -> DataFrame:
     entity = Window.partitionBy(spec.entity)
     own = ratio(F.sum("dropouts").over(entity), F.sum("n_use").over(entity))
     rows = (
-        base.join(yearly, [*by, spec.year])
-        .join(pooled, by)
+        base.join(F.broadcast(yearly), [*by, spec.year])  # one row per year
+        .join(F.broadcast(pooled), by)  # one row
         .withColumns({"centred": F.col(rate) - F.col("_year_mean"), "p": 0.5 * own + 0.5 * F.col("_pool")})
         .withColumn("noise", F.col("p") * (1 - F.col("p")) / F.col("n_use") * 1e4)
     )

@@ -11,9 +11,12 @@ def read_stage(spark: SparkSession, path: str, columns: list[str] | None = None)
 
 
 def write_stage(df: DataFrame, path: str, partition_by: str | None = None) -> None:
-    """Full overwrite. A partition column is also the shuffle key, so each year gets few files."""
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    """Full overwrite. With a partition column the rows are rebalanced by it first: each
+    partition gets few files, and a large one is still written by many tasks."""
+    if partition_by:
+        df.hint("rebalance", partition_by).write.mode("overwrite").partitionBy(partition_by).parquet(path)
+    else:
+        df.write.mode("overwrite").parquet(path)
 
 
 def publish(spark: SparkSession, stage_path: str, published_path: str, view: str | None = None) -> DataFrame:

@@ -22,4 +22,4 @@ def years_to_refresh(wanted: DataFrame, have: DataFrame, year: str, forced: list
 
 def replace_years(df: DataFrame, path: str, year: str) -> None:
     """Overwrite only the year partitions that ``df`` has."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(year).parquet(path)
+    df.hint("rebalance", year).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(year).parquet(path)
