@@ -267,7 +267,7 @@ def published(spark, sf):
 @query("q14_same_rows_per_year", union(sql_check("upstream", "rows per year", "all years", "count(DISTINCT year)", "(SELECT year FROM sp WHERE entity % 50 = 7)"), sql_check("upstream", "same keys", "all years", "count(*)", "(SELECT 1 FROM sp WHERE entity % 50 = 7)")))
 def same_rows(spark, sf):
     p = ad.supplier_panel(spark, sf)
-    return quality.same_rows_per_year(p.where(F.col("entity") % 50 != 7), ad.supplier_years(spark, sf), SPEC)
+    return quality.same_rows_per_year(p.where(F.col("entity") % 50 != 7), ad.supplier_years(spark, sf), SPEC.keys, SPEC.year)
 
 
 @query("q15_input_shape", union(sql_check("input", "column count", "63", "0", "(SELECT count(*) FROM sp)"), sql_check("input", "constant year", "every file", "0", "(SELECT count(*) FROM sp)")))

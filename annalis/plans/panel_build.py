@@ -143,7 +143,7 @@ def validate(spark: SparkSession, root: str, years: int, last_year: int, low_yea
         quality.domain(lon, ["REDE_PUBLICA"], [0, 1], section="flag"),
         quality.domain(base, features, [0.0, 1.0]),
         quality.feature_cover(base, features, low_year, years - 1, SPEC),
-        quality.same_rows_per_year(sel.select("ANO"), rows.select(F.col("year").alias("ANO")), PanelSpec("ANO", "ANO")),
+        quality.same_rows_per_year(sel.select("ANO"), rows.select(F.col("year").alias("ANO")), ["ANO"], "ANO"),
         quality.published_equals(base, published),
     ]
     return sets.union_years(parts)
