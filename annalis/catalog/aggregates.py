@@ -218,12 +218,12 @@ def size_distribution(spark, sf):
     return rounded(out, "up_to_30", "up_to_50", "up_to_100", "p10", "p25", "p50", "p75", "p90")
 
 
-@query("a22_stratum_shares", """SELECT stratum, count(*) AS entities, sum(n_use) AS enrolment, sum(dropouts) AS dropouts, round(quantile_cont(CAST(enrolment AS DOUBLE), 0.5), 6) AS median_size,
-    round(count(*) / sum(count(*)) OVER (), 6) AS share_entities, round(sum(n_use) / sum(sum(n_use)) OVER (), 6) AS share_enrolment,
-    round(sum(dropouts) / sum(sum(dropouts)) OVER (), 6) AS share_dropouts, round(100 * sum(dropouts) / sum(n_use), 6) AS rate
-    FROM ct WHERE year = 2000 GROUP BY 1""")
+@query("a22_stratum_shares", """SELECT year, stratum, count(*) AS entities, sum(n_use) AS enrolment, sum(dropouts) AS dropouts, round(quantile_cont(CAST(enrolment AS DOUBLE), 0.5), 6) AS median_size,
+    round(count(*) / sum(count(*)) OVER (PARTITION BY year), 6) AS share_entities, round(sum(n_use) / sum(sum(n_use)) OVER (PARTITION BY year), 6) AS share_enrolment,
+    round(sum(dropouts) / sum(sum(dropouts)) OVER (PARTITION BY year), 6) AS share_dropouts, round(100 * sum(dropouts) / sum(n_use), 6) AS rate
+    FROM ct GROUP BY 1, 2""")
 def stratum_shares(spark, sf):
-    out = structure.stratum_shares(ad.staged_counts(spark, sf).where(F.col("year") == 2000), "stratum", "enrolment")
+    out = structure.stratum_shares(ad.staged_counts(spark, sf), "stratum", "enrolment", ["year"])
     return rounded(out, "median_size", "share_entities", "share_enrolment", "share_dropouts", "rate")
 
 
@@ -368,9 +368,9 @@ def label_cover(spark, sf):
     return profile.label_year_cover(profile.column_inventory(p, INVENTORY, SPEC), "year")
 
 
-@query("a42_grade_size", union_sql([f"n_g{k}" for k in GRADES], """SELECT '{c}' AS "column", round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 6) AS median, round(quantile_cont(CAST({c} AS DOUBLE), 0.25), 6) AS p25 FROM gp WHERE {c} > 0 AND year = 2000"""))
+@query("a42_grade_size", union_sql([f"n_g{k}" for k in GRADES], """SELECT year, '{c}' AS "column", round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 6) AS median, round(quantile_cont(CAST({c} AS DOUBLE), 0.25), 6) AS p25 FROM gp WHERE {c} > 0 GROUP BY 1"""))
 def grade_size(spark, sf):
-    return profile.grade_size(ad.grade_panel(spark, sf).where(F.col("year") == 2000), [f"n_g{k}" for k in GRADES])
+    return profile.grade_size(ad.grade_panel(spark, sf), [f"n_g{k}" for k in GRADES], ["year"])
 
 
 @query("a43_grade_simple_means", "SELECT year, " + ", ".join(f"round(avg(ab_g{k}), 6) AS ab_g{k}" for k in GRADES) + " FROM gp WHERE public = 1 GROUP BY 1")
@@ -397,11 +397,10 @@ def zero_share(spark, sf):
     return rounded(profile.zero_share(ad.customer_panel(spark, sf), ["year"], "ab", SPEC), "zero_share")
 
 
-@query("w8_pareto_cut", """WITH r AS (SELECT dropouts, sum(dropouts) OVER (ORDER BY dropouts DESC, entity ROWS UNBOUNDED PRECEDING) AS cum, sum(dropouts) OVER () AS tot FROM ct WHERE year = 2000)
-    SELECT any_value(tot) AS total, count(*) AS entities, count(*) FILTER (WHERE cum / tot < 0.5) + 1 AS reach_50, count(*) FILTER (WHERE cum / tot < 0.8) + 1 AS reach_80 FROM r""")
+@query("w8_pareto_cut", """WITH r AS (SELECT year, dropouts, sum(dropouts) OVER (PARTITION BY year ORDER BY dropouts DESC, entity ROWS UNBOUNDED PRECEDING) AS cum, sum(dropouts) OVER (PARTITION BY year) AS tot FROM ct)
+    SELECT year, any_value(tot) AS total, count(*) AS entities, count(*) FILTER (WHERE cum / tot < 0.5) + 1 AS reach_50, count(*) FILTER (WHERE cum / tot < 0.8) + 1 AS reach_80 FROM r GROUP BY 1""")
 def pareto(spark, sf):
-    x = ad.counts_panel(spark, sf).where(F.col("year") == 2000)
-    return structure.pareto_cut(x, "dropouts", [0.5, 0.8]).drop("scope")
+    return structure.pareto_cut(ad.counts_panel(spark, sf), ["year"], "dropouts", [0.5, 0.8])
 
 
 @query("w9_average_rank", f"SELECT entity, year, ab, {_rank('ab', 'year')} AS ab_rank FROM cp WHERE ab IS NOT NULL")

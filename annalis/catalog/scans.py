@@ -10,6 +10,7 @@ from annalis.catalog.adapters import SPEC
 from annalis.catalog.registry import query
 from annalis.catalog.sheets import HEADER_ROW, MEASURE_RATE, SHEET_YEARS, STAGE_RATE, raw_sheets
 from annalis.functions.scalar import canonical_category, normalise_id
+from annalis.operators import sets
 from annalis.session import shared_folder, staged
 from annalis.sources import delimited, discover, layouts, raw, stages
 from annalis.streaming import refresh
@@ -55,11 +56,11 @@ def pick_source(spark, sf):
 
 
 def census_folder(spark, sf, sep=";"):
-    """The supplier panel of one year as a census file: text columns, state codes, 0/1 flags."""
+    """The supplier panel as census files: text columns, state codes, 0/1 flags, one row per entity and year."""
     e = F.col("entity")
-    p = ad.supplier_panel(spark, sf).where(F.col("year") == 1999)
+    p = ad.supplier_panel(spark, sf)
     wide = p.select(
-        F.lit("2012").alias("NU_ANO"), F.when(e % 2 == 0, " rr").otherwise("AM").alias("SG_UF"), F.concat(e.cast("string"), F.lit(" ")).alias("CO_ENTIDADE"), "name",
+        F.col("year").alias("NU_ANO"), F.when(e % 2 == 0, " rr").otherwise("AM").alias("SG_UF"), F.concat(e.cast("string"), F.lit(" ")).alias("CO_ENTIDADE"), "name",
         F.when(e % 3 != 0, (e % 2).cast("string")).alias("IN_AGUA_FILTRADA"), (e % 4 / 2).cast("int").cast("string").alias("IN_AGUA_POTAVEL"),
         F.when(e % 5 == 0, "x").otherwise("1").alias("IN_INTERNET"), F.when(F.col("ab").isNotNull(), "1").otherwise("0").alias("IN_BIBLIOTECA"), "enrolment",
     )
@@ -68,11 +69,11 @@ def census_folder(spark, sf, sep=";"):
     return folder
 
 
-CENSUS_SQL = """SELECT CAST(2012 AS INT) AS "ANO", CAST(entity AS VARCHAR) AS "CO_ENTIDADE", CAST(coalesce(CASE WHEN entity % 3 <> 0 THEN entity % 2 END, CAST(floor((entity % 4) / 2) AS INT)) AS DOUBLE) AS "IIB_agua_potavel",
-    CASE WHEN entity % 5 <> 0 THEN 1.0::DOUBLE END AS "IEP_internet", CASE WHEN ab IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS "IDP_biblioteca", CAST(NULL AS DOUBLE) AS "IDA_despensa" FROM sp WHERE year = 1999 AND entity % 2 = 0"""
+CENSUS_SQL = """SELECT year AS "ANO", CAST(entity AS VARCHAR) AS "CO_ENTIDADE", CAST(coalesce(CASE WHEN entity % 3 <> 0 THEN entity % 2 END, CAST(floor((entity % 4) / 2) AS INT)) AS DOUBLE) AS "IIB_agua_potavel",
+    CASE WHEN entity % 5 <> 0 THEN 1.0::DOUBLE END AS "IEP_internet", CASE WHEN ab IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS "IDP_biblioteca", CAST(NULL AS DOUBLE) AS "IDA_despensa" FROM sp WHERE entity % 2 = 0"""
 
 
-@query("s3_sniff_delimiter", "SELECT s.sep AS found, s.sep AS written, (SELECT count(*) FROM sp WHERE year = 1999) AS rows FROM (SELECT unnest([';', ',', '|']) AS sep) s")
+@query("s3_sniff_delimiter", "SELECT s.sep AS found, s.sep AS written, (SELECT count(*) FROM sp) AS rows FROM (SELECT unnest([';', ',', '|']) AS sep) s")
 def sniff(spark, sf):
     parts = []
     for sep in (";", ",", "|"):
@@ -83,21 +84,22 @@ def sniff(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("s4_scan_delimited", """SELECT CAST(entity AS VARCHAR) AS id, CASE WHEN entity % 5 = 0 THEN 'x' ELSE '1' END AS "IN_INTERNET" FROM sp WHERE year = 1999 AND entity % 2 = 0""")
+@query("s4_scan_delimited", """SELECT CAST(year AS VARCHAR) AS year, CAST(entity AS VARCHAR) AS id, CASE WHEN entity % 5 = 0 THEN 'x' ELSE '1' END AS "IN_INTERNET" FROM sp WHERE entity % 2 = 0""")
 def scan(spark, sf):
     folder = census_folder(spark, sf)
-    df = delimited.scan_delimited(spark, folder, ";", columns=["CO_ENTIDADE", "SG_UF", "IN_INTERNET"])
-    return df.where(delimited.in_scope("SG_UF", "letters")).select(F.trim("CO_ENTIDADE").alias("id"), "IN_INTERNET")
+    df = delimited.scan_delimited(spark, folder, ";", columns=["NU_ANO", "CO_ENTIDADE", "SG_UF", "IN_INTERNET"])
+    return df.where(delimited.in_scope("SG_UF", "letters")).select(F.col("NU_ANO").alias("year"), F.trim("CO_ENTIDADE").alias("id"), "IN_INTERNET")
 
 
 @query("p12_coalesce_candidates", CENSUS_SQL)
 def census(spark, sf):
     folder = census_folder(spark, sf)
     df = delimited.scan_delimited(spark, folder, delimited.sniff_delimiter(spark, folder))
-    return delimited.census_year(df, 2012).select("ANO", "CO_ENTIDADE", "IIB_agua_potavel", "IEP_internet", "IDP_biblioteca", "IDA_despensa")
+    years = [delimited.census_year(df.where(F.col("NU_ANO") == str(y)), y) for y in ad.YEARS]
+    return sets.union_years(years).select("ANO", "CO_ENTIDADE", "IIB_agua_potavel", "IEP_internet", "IDP_biblioteca", "IDA_despensa")
 
 
-@query("s14_detect_scope_column", """SELECT 'SG_UF' AS scope_column, 'letters' AS mode, 'CO_ENTIDADE' AS id_column, count(*) FILTER (WHERE entity % 2 = 0) AS in_scope FROM sp WHERE year = 1999""")
+@query("s14_detect_scope_column", """SELECT 'SG_UF' AS scope_column, 'letters' AS mode, 'CO_ENTIDADE' AS id_column, count(*) FILTER (WHERE entity % 2 = 0) AS in_scope FROM sp""")
 def detect_scope(spark, sf):
     df = delimited.scan_delimited(spark, census_folder(spark, sf), ";")
     column, mode = delimited.detect_scope_column(df.columns)
@@ -106,12 +108,12 @@ def detect_scope(spark, sf):
     return found.select(F.lit(column).alias("scope_column"), F.lit(mode).alias("mode"), F.lit(key).alias("id_column"), "in_scope")
 
 
-@query("s5_assemble_year", "SELECT entity, ap, rp, ab, n, enrolment FROM sp WHERE year = 2001")
+@query("s5_assemble_year", "SELECT entity * 10000 + year AS id, ap, rp, ab, n, enrolment FROM sp")
 def assemble(spark, sf):
-    p = ad.staged_supplier(spark, sf).where(F.col("year") == 2001)
-    main = p.select("entity", "ap", "rp")
-    sides = [p.select("entity", F.lit(-1.0).alias("rp"), "ab"), p.select("entity", "n", F.lit(-1.0).alias("ab"), "enrolment")]
-    return delimited.assemble_year(main, sides, "entity")
+    p = ad.staged_supplier(spark, sf).withColumn("id", F.col("entity") * 10000 + F.col("year"))
+    main = p.select("id", "ap", "rp")
+    sides = [p.select("id", F.lit(-1.0).alias("rp"), "ab"), p.select("id", "n", F.lit(-1.0).alias("ab"), "enrolment")]
+    return delimited.assemble_year(main, sides, "id")
 
 
 def headers(spark, sf):
@@ -152,11 +154,11 @@ def dedup_names(spark, sf):
     return doubled.select("file", get(at).alias("plain"), get(F.lit(0)).alias("first_name"), get(F.lit(1)).alias("second_name"), get(F.lit(65)).alias("third_name"))
 
 
-@query("s10_normalise_mixed_types", "SELECT entity, year, CASE WHEN entity % 4 = 3 THEN CAST(ab AS VARCHAR) END AS cell, n FROM sp WHERE ab IS NOT NULL AND entity % 4 <> 3 UNION ALL SELECT entity, year, NULL, n FROM sp WHERE FALSE")
+@query("s10_normalise_mixed_types", "SELECT entity, year, CASE WHEN entity % 4 = 3 THEN CAST(ab AS VARCHAR) END AS cell, n FROM sp")
 def mixed_types(spark, sf):
-    p = ad.supplier_panel(spark, sf).where(F.col("ab").isNotNull() & (F.col("entity") % 4 != 3))
-    text = F.when(F.col("entity") % 4 == 0, "nan").when(F.col("entity") % 4 == 1, "None").otherwise("  ")
-    rows = p.select("entity", "year", "n", F.array(text).alias("cells"))
+    e = F.col("entity") % 4
+    text = F.when(e == 0, "nan").when(e == 1, "None").when(e == 2, "  ").otherwise(F.col("ab").cast("string"))
+    rows = ad.supplier_panel(spark, sf).select("entity", "year", "n", F.array(text).alias("cells"))
     return raw.normalise_mixed_types(rows).select("entity", "year", "n", F.get("cells", F.lit(0)).alias("cell"))
 
 
@@ -232,22 +234,24 @@ def write_csv(spark, sf):
     return spark.read.csv(path, header=True, schema="year int, rows bigint, mean double")
 
 
-@query("s21_position_rename", """SELECT CAST(CASE WHEN year = 2000 THEN 2020 ELSE 2021 END AS INT) AS "ANO", entity, ap AS "AP_FUN", ab AS "AB_FUN", ab_f AS "AB_FUN_AF", ab_o AS "AB_MED" FROM sp WHERE year IN (2000, 2001)""")
+@query("s21_position_rename", """SELECT CAST(year + 21 AS INT) AS "ANO", entity, ap AS "AP_FUN", ab AS "AB_FUN", ab_f AS "AB_FUN_AF", ab_o AS "AB_MED" FROM sp""")
 def position_rename(spark, sf):
+    """All years, 21 years later: the old names up to 2020, the new ones from 2021 on."""
     p = ad.staged_supplier(spark, sf)
     new, old = fv.SEGMENTS_NEW, fv.SEGMENTS_OLD
     source = {"FUN": "", "FUN_AF": "_f", "MED": "_o"}
     parts = []
-    for panel_year, year, names, pick in ((2000, 2020, old, 1), (2001, 2021, new, 0)):
+    for panel_year in ad.YEARS:
+        year = panel_year + 21
+        is_old = year < fv.FIRST_YEAR_OF_NEW_SEGMENTS
         cells = []
-        for prefix in fv.SEGMENT_PREFIXES:
-            m = {"AP": "ap", "RP": "rp", "AB": "ab"}[prefix[2]]
+        for new_prefix, old_prefix, short in fv.SEGMENT_PREFIXES:
             for n, o in zip(new, old):
-                name = prefix[pick] + (o if pick else n)
-                cells.append((F.col(m + source[n]).cast("string") if n in source else F.lit("--")).alias(name))
+                name = old_prefix + o if is_old else new_prefix + n
+                cells.append((F.col(short.lower() + source[n]).cast("string") if n in source else F.lit("--")).alias(name))
         wide = p.where(F.col("year") == panel_year).select("entity", *cells)
         parts.append(delimited.position_rename(wide, year, [F.col("entity")]))
-    return parts[0].unionByName(parts[1]).select("ANO", "entity", "AP_FUN", "AB_FUN", "AB_FUN_AF", "AB_MED")
+    return sets.union_years(parts).select("ANO", "entity", "AP_FUN", "AB_FUN", "AB_FUN_AF", "AB_MED")
 
 
 @query("s22_ingest_stats", """SELECT file, 63 AS columns, count(*) AS rows, count(*) FILTER (WHERE inside) AS in_scope, CASE WHEN any_value(sy) <= 2016 THEN 'letters' WHEN any_value(sy) = 2019 THEN 'number' ELSE 'name' END AS method,

@@ -49,14 +49,14 @@ def size_distribution(df: DataFrame, size: str, limits: tuple[int, ...] = (30, 5
     return shares.join(order.quantiles(marked, ["scope"], size, probs), "scope")
 
 
-def stratum_shares(df: DataFrame, stratum: str, size: str) -> DataFrame:
-    """Entities, enrolment, median size, drop-outs, shares and weighted rate per stratum."""
-    totals = df.groupBy(stratum).agg(
+def stratum_shares(df: DataFrame, stratum: str, size: str, by: list[str]) -> DataFrame:
+    """Entities, enrolment, median size, drop-outs, shares within ``by`` and weighted rate per stratum."""
+    totals = df.groupBy(*by, stratum).agg(
         F.count(F.lit(1)).alias("entities"), F.sum("n_use").alias("enrolment"), F.sum("dropouts").alias("dropouts")
     )
-    medians = order.quantiles(df, [stratum], size, {"median_size": 0.5})
-    everything = Window.partitionBy()  # over the strata, not over the rows
-    return totals.join(medians, stratum, "left").withColumns(
+    medians = order.quantiles(df, [*by, stratum], size, {"median_size": 0.5})
+    everything = Window.partitionBy(*by)  # over the strata, not over the rows
+    return totals.join(medians, [*by, stratum], "left").withColumns(
         {
             "share_entities": ratio(F.col("entities"), F.sum("entities").over(everything)),
             "share_enrolment": ratio(F.col("enrolment"), F.sum("enrolment").over(everything)),
@@ -232,13 +232,13 @@ def spearman_by_lag(matrix: DataFrame, lags: list[int], first_year: int) -> Data
     )
 
 
-def pareto_cut(df: DataFrame, count: str, shares: list[float]) -> DataFrame:
+def pareto_cut(df: DataFrame, by: list[str], count: str, shares: list[float]) -> DataFrame:
     """How many entities, largest first, reach each share of the total.
 
     Equal counts are handled together by arithmetic, so no entity list is sorted.
     """
-    counted = order.tally(df.withColumn("scope", F.lit("all")), ["scope"], count).withColumn("w", F.col("n") * F.col(count))
-    runs = order.running_totals(counted, ["scope"], count, ["n", "w"], descending=True)
+    counted = order.tally(df, by, count).withColumn("w", F.col("n") * F.col(count))
+    runs = order.running_totals(counted, by, count, ["n", "w"], descending=True)
     out = []
     for share in shares:
         room = F.lit(share) * F.col("all_w") - F.col("before_w")
@@ -246,4 +246,4 @@ def pareto_cut(df: DataFrame, count: str, shares: list[float]) -> DataFrame:
         below = F.when(room <= 0, 0).otherwise(F.coalesce(below, F.col("n")))
         within = F.greatest(F.lit(0), F.least(F.col("n"), below))
         out.append((F.sum(within) + 1).cast("bigint").alias(f"reach_{int(round(share * 100))}"))
-    return runs.groupBy("scope").agg(F.sum("w").alias("total"), F.sum("n").cast("bigint").alias("entities"), *out)
+    return runs.groupBy(*by).agg(F.sum("w").alias("total"), F.sum("n").cast("bigint").alias("entities"), *out)

@@ -61,12 +61,12 @@ def diagnose(panel: DataFrame, cols: StageColumns, spec: PanelSpec, stratum: str
     now = d.where(F.col(spec.year) == last).withColumn("scope", F.lit("all"))
     out = {
         "size_distribution": structure.size_distribution(d, cols.size),
-        "strata_last_year": structure.stratum_shares(now, stratum, cols.size),
+        "strata_last_year": structure.stratum_shares(now, stratum, cols.size, ["scope"]),
         "denominators": structure.denominator_ratio(d, cols.size),
         "series": structure.weighted_series(d, cols.dropout, [spec.year]),
         "series_by_stratum": structure.stratum_year_matrix(d, stratum, spec.year, list(cols.years)),
         "rate_and_count_lists": ranking.rate_vs_count_lists(now, ["scope"], cols.dropout, "dropouts", "n_use", special, [spec.entity], cols.list_size),
-        "pareto": structure.pareto_cut(now, "dropouts", [0.5, 0.8]),
+        "pareto": structure.pareto_cut(now, ["scope"], "dropouts", [0.5, 0.8]),
         "spearman_years": structure.spearman_year_matrix(d, cols.dropout, spec),
         "variance": structure.variance_budget(d.where(F.col(spec.year) >= cols.recent_from), cols.dropout, spec),
     }

@@ -17,6 +17,7 @@ def build_session(app: str = "annalis", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.optimizer.windowGroupLimitThreshold": "100000",  # lists up to this length are cut before the shuffle
         "spark.ui.enabled": "false",
         **conf,
     }
