@@ -400,7 +400,7 @@ def zero_share(spark, sf):
 @query("w8_pareto_cut", """WITH r AS (SELECT year, dropouts, sum(dropouts) OVER (PARTITION BY year ORDER BY dropouts DESC, entity ROWS UNBOUNDED PRECEDING) AS cum, sum(dropouts) OVER (PARTITION BY year) AS tot FROM ct)
     SELECT year, any_value(tot) AS total, count(*) AS entities, count(*) FILTER (WHERE cum / tot < 0.5) + 1 AS reach_50, count(*) FILTER (WHERE cum / tot < 0.8) + 1 AS reach_80 FROM r GROUP BY 1""")
 def pareto(spark, sf):
-    return structure.pareto_cut(ad.counts_panel(spark, sf), ["year"], "dropouts", [0.5, 0.8])
+    return structure.pareto_cut(ad.staged_counts(spark, sf), ["year"], "dropouts", [0.5, 0.8])
 
 
 @query("w9_average_rank", f"SELECT entity, year, ab, {_rank('ab', 'year')} AS ab_rank FROM cp WHERE ab IS NOT NULL")

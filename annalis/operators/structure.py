@@ -12,7 +12,11 @@ from annalis.spec import PanelSpec
 
 
 def counts(df: DataFrame, approval: str, failure: str, dropout: str, size: str) -> DataFrame:
-    """Denominator that fits the published rates, and the counts it implies."""
+    """Denominator that fits the published rates, and the counts it implies.
+
+    Stage the result before filtering on a computed column: Spark pushes such a filter
+    below the projection and would search each denominator twice.
+    """
     known = df.where(F.col(dropout).isNotNull())
     with_n = known.withColumn("n_rate", reconstruct_denominator(approval, failure, dropout, size))
     with_use = with_n.withColumn("n_use", F.coalesce(F.col("n_rate").cast("double"), F.col(size).cast("double")))
