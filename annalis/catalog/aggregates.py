@@ -128,10 +128,6 @@ def constant_columns(spark, sf):
     return profile.constant_columns(p.select("entity", "year", "town", "dependency", "ab", "public", "special", "one", "enrolment"))
 
 
-GT = """SELECT {{b}} AS level, '{{b}}' AS grouping_column, '{c}' AS "column", count({c}) AS n, round(avg({c}), 6) AS mean, round(quantile_cont({c}, 0.5), 6) AS median, max({c}) AS max FROM
-    (SELECT *, CAST(public AS VARCHAR) AS public_text FROM lp) GROUP BY 1"""
-
-
 @query("a12_group_target_table", "\nUNION ALL\n".join(
     f"""SELECT CAST({b} AS VARCHAR) AS level, '{b}' AS grouping_column, '{c}' AS "column", count({c}) AS n, round(avg({c}), 6) AS mean, round(quantile_cont({c}, 0.5), 6) AS median, max({c}) AS max
     FROM lp GROUP BY 1""" for b in ("public", "location", "dependency") for c in TARGETS))

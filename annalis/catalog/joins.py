@@ -11,7 +11,6 @@ from annalis.catalog.registry import CTES, query
 from annalis.operators import reconcile, sets, shifts, structure
 from annalis.functions.scalar import semantic_key
 from annalis.session import staged
-from annalis.spec import PanelSpec
 
 KEYS = ["year", "entity"]
 

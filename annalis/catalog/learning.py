@@ -8,8 +8,8 @@ from pyspark.ml.functions import vector_to_array
 from annalis.catalog import adapters as ad
 from annalis.catalog.adapters import FOLDS, SPEC
 from annalis.catalog.aggregates import rounded
-from annalis.catalog.ranking import CTES, FIRST, K, METRIC_SQL, ORACLES, REPLICATES, baseline_rows, scores
-from annalis.catalog.registry import query
+from annalis.catalog.ranking import FIRST, K, METRIC_SQL, REPLICATES, baseline_rows, scores
+from annalis.catalog.registry import CTES, ORACLES, query
 from annalis.operators import evaluate as ev
 from annalis.operators import models
 from annalis.session import staged

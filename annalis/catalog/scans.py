@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from annalis import fixed_values as fv
 from annalis.catalog import adapters as ad
-from annalis.catalog.adapters import SPEC
 from annalis.catalog.registry import query
-from annalis.catalog.sheets import HEADER_ROW, MEASURE_RATE, SHEET_YEARS, STAGE_RATE, raw_sheets
+from annalis.catalog.sheets import HEADER_ROW, MEASURE_RATE, STAGE_RATE, raw_sheets
 from annalis.functions.scalar import canonical_category, normalise_id
 from annalis.operators import sets
 from annalis.session import shared_folder, staged
