@@ -1 +1,8 @@
 """Operations of a training-data pipeline. Nothing else in the library imports this package."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the executors by value: they need no copy of it there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

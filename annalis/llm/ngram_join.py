@@ -104,11 +104,11 @@ def _groups(n: int) -> set[int]:
     return {1 << (_prefix(size).bit_length() - 1) for size in (n, n * 100 // PERCENT)}
 
 
-def index_keys(tokens: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """Index keys of a set: rare prefix tokens, and pairs of frequent ones."""
+def index_keys(tokens: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, bool]:
+    """Index keys of a set, rare prefix tokens and pairs of frequent ones; and if they are its whole prefix."""
     n = len(tokens)
     if n == 0:
-        return tokens
+        return tokens, True
     own = classes[(tokens >> U64(64 - SKETCH_BITS)).astype(np.int64)]
     order = np.argsort(own, kind="stable")
     ranked, frequent = tokens[order], own[order] > 0
@@ -126,40 +126,71 @@ def index_keys(tokens: np.ndarray, classes: np.ndarray) -> np.ndarray:
                     break
                 a, b = some[:-d][same], some[d:][same]
                 keys.append(mix(mix(np.minimum(a, b)) ^ np.maximum(a, b) ^ U64(g)))
-    return np.unique(np.concatenate(keys))
+    return np.unique(np.concatenate(keys)), not frequent[p - 1]
 
 
 def _index_rows(classes: np.ndarray):
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            digests, sizes, keys = [], [], []
+            digests, sizes, keys, plain = [], [], [], []
             for tokens in _sets(batch["text"], hashes):
+                own, rare = index_keys(tokens, classes)
                 digests.append(_digest(tokens) if len(tokens) else None)
                 sizes.append(len(tokens))
-                keys.append(index_keys(tokens, classes).astype(np.int64))
-            yield pa.record_batch([batch["_key"], pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["key", "digest", "n", "keys"])
+                keys.append(own.astype(np.int64))
+                plain.append(rare)
+            yield pa.record_batch([batch["_key"], pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(plain)], ["key", "digest", "n", "keys", "plain"])
 
     return run
 
 
 def _set_rows(batches):
+    """Sets of the texts that stand for a node; the digest makes sure of it."""
     hashes = WordHashes()
     for batch in batches:
-        digests, sets = [], []
-        for tokens in _sets(batch["text"], hashes):
-            digests.append(_digest(tokens) if len(tokens) else None)
-            sets.append(tokens.astype(np.int64))
-        yield pa.record_batch([batch["_key"], pa.array(digests, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["key", "digest", "tokens"])
+        nodes, sets = [], []
+        for tokens, node, digest in zip(_sets(batch["text"], hashes), batch["node"].to_pylist(), batch["digest"].to_pylist(), strict=True):
+            if len(tokens) and _digest(tokens) == digest:
+                nodes.append(node)
+                sets.append(tokens.astype(np.int64))
+        yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "tokens"])
+
+
+def _nodes_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+
 
+def _with_both(pairs: DataFrame, facts: DataFrame, names: list[str]) -> DataFrame:
+    for end in ("a", "b"):
+        pairs = pairs.join(facts.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in names]), end)
+    return pairs
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+
+def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Distinct pairs (a < b) that sizes and prefixes do not rule out.
+
+    The tokens that two sets share are those that their prefixes share, and at most the
+    rest of the set whose prefix ends first. Prefixes with frequent tokens are not compared.
+    """
+    pairs = staged(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    own = _nodes_of(pairs)
+    facts = staged(likely_in(nodes.select("node", "n", "plain", F.when(F.col("plain"), F.col("keys")).alias("keys")), own, "node").join(own, "node", "left_semi"), "prefixes")
+    sized = _with_both(pairs, facts.select("node", "n"), ["n"]).filter((F.col("n_a") * 100 >= F.col("n_b") * PERCENT) & (F.col("n_b") * 100 >= F.col("n_a") * PERCENT)).select("a", "b")
+    both = _with_both(sized, facts, ["n", "plain", "keys"])
+    rest = lambda n: F.floor((n * PERCENT + 99) / 100) - 1
+    most = F.size(F.array_intersect("keys_a", "keys_b")) + F.greatest(rest(F.col("n_a")), rest(F.col("n_b")))
+    near = most * (100 + PERCENT) >= (F.col("n_a") + F.col("n_b")) * PERCENT
+    return staged(both.filter(~F.col("plain_a") | ~F.col("plain_b") | near).select("a", "b"), "possible-pairs")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, base: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
-    a = sets.select(F.col("node").alias("a"), F.col("tokens").alias("_ta"))
-    b = sets.select(F.col("node").alias("b"), F.col("tokens").alias("_tb"))
-    joined = pairs.join(a, "a").join(b, "b")
-    joined = joined.withColumn("_both", F.size(F.array_intersect("_ta", "_tb")))
-    return joined.filter(F.col("_both") * 100 >= (F.size("_ta") + F.size("_tb") - F.col("_both")) * PERCENT).select("a", "b")
+    own = staged(nodes.select("node", F.col("key").alias("_key"), "digest").join(_nodes_of(pairs), "node", "left_semi"), "live-nodes")
+    sets = staged(likely_in(base, own, "_key").join(own, "_key").mapInArrow(_set_rows, "node long, tokens array<long>"), "live-sets")
+    joined = _with_both(pairs, sets, ["tokens"]).withColumn("_both", F.size(F.array_intersect("tokens_a", "tokens_b")))
+    near = F.col("_both") * 100 >= (F.size("tokens_a") + F.size("tokens_b") - F.col("_both")) * PERCENT
+    return staged(joined.filter(near).select("a", "b").distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -180,27 +211,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         counters[r["chunk"] * _CHUNK : (r["chunk"] + 1) * _CHUNK] = np.frombuffer(r["counters"], np.int64)
     classes = frequency_classes(counters)
 
-    keyed = base.mapInArrow(_index_rows(classes), "key long, digest binary, n long, keys array<long>").filter("digest IS NOT NULL")
-    nodes = keyed.groupBy("digest").agg(F.min("key").alias("key"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    keyed = base.mapInArrow(_index_rows(classes), "key long, digest binary, n long, keys array<long>, plain boolean").filter("digest IS NOT NULL")
+    nodes = keyed.groupBy("digest").agg(F.min("key").alias("key"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("plain").alias("plain"), F.first("keys").alias("keys"))
     nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "shingle-nodes")
     index = nodes.select(F.explode("keys").alias("k"), "node")
     shared = staged(index.groupBy("k").agg(F.count("*").alias("m"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("m > 1"), "shared-keys")
-    postings = staged(index.join(shared.filter("m > 2"), "k").select("k", "node", "lo", "hi"), "postings")
+    several = shared.filter("m > 2")
+    postings = staged(likely_in(index, several, "k").join(several, "k").select("k", "node", "lo", "hi"), "postings")
 
-    sizes = nodes.select("node", "n")
-    fits = lambda pairs: (pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-                          .join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").filter((F.col("na") * 100 >= F.col("nb") * PERCENT) & (F.col("nb") * 100 >= F.col("na") * PERCENT)).select("a", "b"))
     first = shared.select(F.col("lo").alias("a"), F.col("hi").alias("b"))
     for end in ("lo", "hi"):
         first = first.unionByName(postings.select(F.col("node").alias("a"), F.col(end).alias("b")))
-    first = staged(fits(first), "first-pairs")
-
-    live = staged(first.select(F.col("a").alias("node")).union(first.select("b")).union(postings.select("node")).distinct().join(nodes.select("node", "key", "digest"), "node"), "live-nodes")
-    own = live.select(F.col("key").alias("_key"))
-    found = likely_in(base, own, "_key").join(own, "_key", "left_semi").mapInArrow(_set_rows, "key long, digest binary, tokens array<long>")
-    sets = staged(found.join(live.select("node", "key", "digest"), ["key", "digest"]).dropDuplicates(["node"]).select("node", "tokens"), "live-sets")
-
-    links = staged(_verified(first, sets), "first-links")
+    first = _possible(first, nodes)
+    links = _verified(first, nodes, base)
     known = components(links)
     label = postings.join(known, "node", "left").select("k", "node", "lo", F.coalesce("component", "node").alias("c"))
     label = label.join(known.select(F.col("node").alias("lo"), F.col("component").alias("_l")), "lo", "left").select("k", "node", "c", F.coalesce("_l", "lo").alias("c0"))
@@ -210,8 +233,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stray = label.filter("c <> c0").select("k", F.col("node").alias("a"), F.col("c").alias("ca"))
     rest = label.select("k", F.col("node").alias("b"), F.col("c").alias("cb"), "c0")
     cross = stray.join(rest, "k").filter("ca <> cb AND (cb = c0 OR a < b)").select("a", "b")
-    cross = staged(fits(cross).join(first, ["a", "b"], "left_anti"), "cross-pairs")
-    more = staged(links.unionByName(_verified(cross, sets)), "links")
+    cross = _possible(cross, nodes).join(first, ["a", "b"], "left_anti")
+    more = staged(links.unionByName(_verified(staged(cross, "cross-pairs"), nodes, base)), "all-links")
     found = components(more)
 
     degree = more.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
