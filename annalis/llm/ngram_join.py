@@ -18,9 +18,10 @@ fix their number, and a token counts as frequent if its counter stands out of th
 by more than chance allows. Any classes give the same links; they only save work.
 
 Documents with equal sets are one node. Each index key links its nodes to the smallest and
-the largest of them; links are verified on whole sets. Nodes that are then in one component
-need no further comparison. What is left is exact: all pairs of different components that
-share a key are verified, too, so that no component is missed.
+the largest of them, and nodes left over to a few random ones; links are verified on whole
+sets. Nodes that are then in one component need no further comparison. What is left is
+exact: all pairs of different components that share a key are verified, too, unless sizes
+and prefixes rule them out, so that no component is missed.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annalis.llm.common import U64, WordHashes, join_counted, keep_rows, likely_in, mix, rolling, row_key, text_of, texts
@@ -38,6 +39,8 @@ from annalis.session import staged
 WORDS = 5
 PERCENT = 80
 SKETCH_BITS = 20
+#: Further rounds in which nodes outside the main component of their keys try random nodes of these keys.
+PIVOT_ROUNDS, PIVOTS = 1, 6
 _CHUNK = 1 << 12
 
 
@@ -105,7 +108,7 @@ def _groups(n: int) -> set[int]:
 
 
 def index_keys(tokens: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, bool]:
-    """Index keys of a set, rare prefix tokens and pairs of frequent ones; and if they are its whole prefix."""
+    """Index keys of a set, rare prefix tokens (even) and pairs of frequent ones (odd); and if the former are its whole prefix."""
     n = len(tokens)
     if n == 0:
         return tokens, True
@@ -113,7 +116,7 @@ def index_keys(tokens: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, boo
     order = np.argsort(own, kind="stable")
     ranked, frequent = tokens[order], own[order] > 0
     p = _prefix(n)
-    keys = [ranked[:p][~frequent[:p]]]
+    keys = [ranked[:p][~frequent[:p]] & ~U64(1)]
     if frequent[p - 1]:
         for g in _groups(n):
             some = ranked[: p + g][frequent[: p + g]]
@@ -125,7 +128,7 @@ def index_keys(tokens: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, boo
                 if not same.any():
                     break
                 a, b = some[:-d][same], some[d:][same]
-                keys.append(mix(mix(np.minimum(a, b)) ^ np.maximum(a, b) ^ U64(g)))
+                keys.append(mix(mix(np.minimum(a, b)) ^ np.maximum(a, b) ^ U64(g)) | U64(1))
     return np.unique(np.concatenate(keys)), not frequent[p - 1]
 
 
@@ -167,23 +170,45 @@ def _with_both(pairs: DataFrame, facts: DataFrame, names: list[str]) -> DataFram
     return pairs
 
 
-def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) that sizes and prefixes do not rule out.
+def _rest(n: Column) -> Column:
+    """Tokens of a set of size n behind its prefix."""
+    return F.floor((n * PERCENT + 99) / 100) - 1
+
+
+def _may_link(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
+    """If two nodes (size, sharable) can be similar; sharable is the size without rare prefix tokens that no other set has in its prefix."""
+    (n, upper), (m, other) = a, b
+    size = (n * 100 >= m * PERCENT) & (m * 100 >= n * PERCENT)
+    return size & (F.least(upper, other) * (100 + PERCENT) >= (n + m) * PERCENT)
+
+
+def _possible(pairs: DataFrame, nodes: DataFrame, facts: DataFrame) -> DataFrame:
+    """Distinct pairs (a < b) that sizes, sharable tokens and whole prefixes do not rule out.
 
     The tokens that two sets share are those that their prefixes share, and at most the
     rest of the set whose prefix ends first. Prefixes with frequent tokens are not compared.
     """
-    pairs = staged(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    own = _nodes_of(pairs)
-    facts = staged(likely_in(nodes.select("node", "n", "plain", F.when(F.col("plain"), F.col("keys")).alias("keys")), own, "node").join(own, "node", "left_semi"), "prefixes")
-    sized = _with_both(pairs, facts.select("node", "n"), ["n"]).filter((F.col("n_a") * 100 >= F.col("n_b") * PERCENT) & (F.col("n_b") * 100 >= F.col("n_a") * PERCENT)).select("a", "b")
-    both = _with_both(sized, facts, ["n", "plain", "keys"])
-    rest = lambda n: F.floor((n * PERCENT + 99) / 100) - 1
-    most = F.size(F.array_intersect("keys_a", "keys_b")) + F.greatest(rest(F.col("n_a")), rest(F.col("n_b")))
+    pairs = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sized = _with_both(pairs, facts, ["n", "upper"]).filter(_may_link((F.col("n_a"), F.col("upper_a")), (F.col("n_b"), F.col("upper_b"))))
+    sized = staged(sized.select("a", "b"), "pairs")
+    own = _nodes_of(sized)
+    prefixes = staged(likely_in(nodes.select("node", "n", "plain", F.when(F.col("plain"), F.col("keys")).alias("keys")), own, "node").join(own, "node", "left_semi"), "prefixes")
+    both = _with_both(sized, prefixes, ["n", "plain", "keys"])
+    most = F.size(F.array_intersect("keys_a", "keys_b")) + F.greatest(_rest(F.col("n_a")), _rest(F.col("n_b")))
     near = most * (100 + PERCENT) >= (F.col("n_a") + F.col("n_b")) * PERCENT
     return staged(both.filter(~F.col("plain_a") | ~F.col("plain_b") | near).select("a", "b"), "possible-pairs")
 
 
+def _strays(postings: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Postings of the keys whose nodes are in several components, and those of them outside the component of ``lo``."""
+    label = postings.join(known, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+    label = label.join(known.select(F.col("node").alias("lo"), F.col("component").alias("_l")), "lo", "left").withColumn("c0", F.coalesce("_l", "lo")).drop("_l")
+    label = staged(label, "labelled-postings")
+    mixed = label.groupBy("k").agg(F.min("c").alias("_a"), F.max("c").alias("_b")).filter("_a <> _b").select("k")
+    label = staged(label.join(mixed, "k", "left_semi"), "mixed-postings")
+    return label, label.filter("c <> c0")
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, base: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
     own = staged(nodes.select("node", F.col("key").alias("_key"), "digest").join(_nodes_of(pairs), "node", "left_semi"), "live-nodes")
@@ -216,25 +241,34 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "shingle-nodes")
     index = nodes.select(F.explode("keys").alias("k"), "node")
     shared = staged(index.groupBy("k").agg(F.count("*").alias("m"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("m > 1"), "shared-keys")
-    several = shared.filter("m > 2")
-    postings = staged(likely_in(index, several, "k").join(several, "k").select("k", "node", "lo", "hi"), "postings")
+    live = staged(likely_in(index, shared, "k").join(shared, "k"), "live-keys")
+    counts = live.groupBy("node").agg(F.sum((F.col("k") % 2 == 0).cast("long")).alias("_live"))
+    rare = F.size(F.filter("keys", lambda k: k % 2 == 0))
+    facts = staged(nodes.select("node", "n", rare.alias("_rare")).join(counts, "node").select("node", "n", (F.col("n") - F.col("_rare") + F.col("_live")).alias("upper")), "live-facts")
+    postings = staged(live.filter("m > 2").join(facts, "node").select("k", "node", "n", "upper", "lo", "hi"), "postings")
 
     first = shared.select(F.col("lo").alias("a"), F.col("hi").alias("b"))
     for end in ("lo", "hi"):
         first = first.unionByName(postings.select(F.col("node").alias("a"), F.col(end).alias("b")))
-    first = _possible(first, nodes)
+    first = _possible(first, nodes, facts)
     links = _verified(first, nodes, base)
     known = components(links)
-    label = postings.join(known, "node", "left").select("k", "node", "lo", F.coalesce("component", "node").alias("c"))
-    label = label.join(known.select(F.col("node").alias("lo"), F.col("component").alias("_l")), "lo", "left").select("k", "node", "c", F.coalesce("_l", "lo").alias("c0"))
-    label = staged(label, "labelled-postings")
-    mixed = label.groupBy("k").agg(F.min("c").alias("_a"), F.max("c").alias("_b")).filter("_a <> _b").select("k")
-    label = label.join(mixed, "k", "left_semi")
-    stray = label.filter("c <> c0").select("k", F.col("node").alias("a"), F.col("c").alias("ca"))
-    rest = label.select("k", F.col("node").alias("b"), F.col("c").alias("cb"), "c0")
-    cross = stray.join(rest, "k").filter("ca <> cb AND (cb = c0 OR a < b)").select("a", "b")
-    cross = _possible(cross, nodes).join(first, ["a", "b"], "left_anti")
-    more = staged(links.unionByName(_verified(staged(cross, "cross-pairs"), nodes, base)), "all-links")
+    for turn in range(PIVOT_ROUNDS):  # members of large groups that neither end is similar to
+        label, stray = _strays(postings, known)
+        pivot = label.groupBy("k").agg(F.min_by("node", F.xxhash64(F.lit(turn), "k", "node")).alias("_p"))
+        tries = stray.select("k", "node").join(pivot, "k")
+        drawn = tries.groupBy("node").agg(*[F.min_by("_p", F.xxhash64(F.lit(turn * PIVOTS + i), "k")).alias(f"_p{i}") for i in range(PIVOTS)])
+        drawn = drawn.select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array(*[f"_p{i}" for i in range(PIVOTS)]))).alias("b"))
+        drawn = staged(_possible(drawn, nodes, facts).join(first, ["a", "b"], "left_anti"), "drawn-pairs")
+        first = first.unionByName(drawn)
+        links = staged(links.unionByName(_verified(drawn, nodes, base)), "links-so-far")
+        known = components(links)
+    label, stray = _strays(postings, known)
+    one = stray.select("k", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("n").alias("_na"), F.col("upper").alias("_la"))
+    rest = label.select("k", F.col("node").alias("b"), F.col("c").alias("cb"), "c0", F.col("n").alias("_nb"), F.col("upper").alias("_lb"))
+    cross = one.join(rest, "k").filter("ca <> cb AND (cb = c0 OR a < b)").filter(_may_link((F.col("_na"), F.col("_la")), (F.col("_nb"), F.col("_lb")))).select("a", "b")
+    cross = staged(_possible(cross, nodes, facts).join(first, ["a", "b"], "left_anti"), "cross-pairs")
+    more = staged(links.unionByName(_verified(cross, nodes, base)), "all-links")
     found = components(more)
 
     degree = more.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
