@@ -39,7 +39,8 @@ def _merge_runs(batches):
         new = np.ones(len(raw), bool)
         new[1:] = (raw[1:] != raw[:-1]) | (tag[1:] != tag[:-1])
         starts = np.flatnonzero(new)
-        merged = table.take(starts).set_column(table.schema.get_field_index("n"), "n", pa.array(np.add.reduceat(table["n"].to_numpy(), starts)))
+        at = table.schema.get_field_index("n")
+        merged = table.take(starts).set_column(at, table.schema.field(at), pa.array(np.add.reduceat(table["n"].to_numpy(), starts)))
         held = merged.slice(len(merged) - 1)
         yield from merged.slice(0, len(merged) - 1).to_batches()
     if held is not None:
