@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annalis.llm.common import WordHashes, rolling, text_of, texts
@@ -78,26 +78,61 @@ def _features(batches):
         yield pa.record_batch([batch["doc_id"], batch["lang"], *(pa.array(c, pa.int64()) for c in numbers), pa.array(chars, kind), pa.array(common, kind)], ["doc_id", "lang", *names, "chars", "common"])
 
 
-def _share(counts: Column) -> Column:
-    total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
-    return F.transform(counts, lambda x: F.when(total > 0, x / total).otherwise(0.0))
+def _shares(column) -> np.ndarray:
+    """Histograms of a batch as shares; empty ones are all zero."""
+    counts = np.array(column.flatten().to_numpy(), np.float64).reshape(len(column), -1)
+    return counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
 
 
-def distance(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance of two histograms of shares."""
-    part = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
-    terms = F.zip_with(p, q, lambda a, b: part(a, (a + b) / 2) + part(b, (a + b) / 2))
-    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2))
+def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon distance of the rows of two tables of shares."""
+    m = (p + q) / 2
+    part = lambda x: np.where(x > 0, x * np.log2(np.where(x > 0, x, 1) / np.where(m > 0, m, 1)), 0.0)
+    return np.sqrt(np.maximum((part(p) + part(q)).sum(axis=1) / 2, 0.0))
 
 
-def references(shares: DataFrame) -> DataFrame:
-    """(lang, ref_chars, ref_common): the mean shares of each frequent language, and of all documents under "*"."""
-    n = shares.count()
-    mean = lambda name, width: F.array(*[F.round(F.avg(F.col(name)[k]), 9) for k in range(width)])
-    pick = [F.count("*").alias("_n"), mean("p_chars", len(CLASSES)).alias("ref_chars"), mean("p_common", len(WORDS) + 1).alias("ref_common")]
-    full = shares.filter("n_words > 0")
-    own = full.filter("lang IS NOT NULL").groupBy("lang").agg(*pick).filter(F.col("_n") * RARE_LANGUAGE >= n)
-    return own.unionByName(full.agg(*pick).withColumn("lang", F.lit("*"))).drop("_n")
+def _partial_means(batches):
+    """Sums of the shares of the documents with words, per language and task."""
+    sums: dict[str | None, np.ndarray] = {}
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        shares = np.hstack([_shares(batch["chars"]), _shares(batch["common"])])
+        some, langs = batch["n_words"].to_numpy() > 0, np.array(batch["lang"].to_pylist(), object)
+        for lang in set(langs[some].tolist()):
+            own = shares[some & (langs == lang)] if lang is not None else shares[some & np.array([x is None for x in langs])]
+            sums[lang] = sums.get(lang, 0) + np.append(own.sum(axis=0), len(own))
+    width = len(CLASSES) + len(WORDS) + 2
+    flat = np.concatenate(list(sums.values())) if sums else np.zeros(0)
+    yield pa.record_batch([pa.array(np.repeat(list(sums), width).tolist() if sums else [], pa.string()), pa.array(np.tile(np.arange(width), len(sums))), pa.array(flat)], ["lang", "bin", "value"])
+
+
+def references(rows: DataFrame) -> dict[str, np.ndarray]:
+    """Mean shares of each frequent language, and of all documents under "*": RARE_LANGUAGE + 1 at most."""
+    last = len(CLASSES) + len(WORDS) + 1
+    sums = staged(rows.select("lang", "n_words", "chars", "common").mapInArrow(_partial_means, "lang string, bin long, value double").groupBy("lang", "bin").agg(F.round(F.sum("value"), 6).alias("value")), "quality-sums")
+    total = sums.groupBy("bin").agg(F.round(F.sum("value"), 6).alias("value")).withColumn("lang", F.lit("*"))
+    n = total.filter(F.col("bin") == last).select("value").first()
+    often = sums.filter((F.col("bin") == last) & F.col("lang").isNotNull() & (F.col("value") * RARE_LANGUAGE >= (n["value"] if n else 0))).select("lang")
+    found: dict[str, np.ndarray] = {}
+    for r in sums.join(F.broadcast(often), "lang", "left_semi").unionByName(total.select("lang", "bin", "value")).collect():
+        found.setdefault(r["lang"], np.zeros(last + 1))[r["bin"]] = r["value"]
+    return {lang: np.round(v[:last] / max(v[last], 1), 9) for lang, v in found.items()}
+
+
+def _distances(refs: dict[str, np.ndarray]):
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            expected = np.array([refs.get(lang, refs["*"]) for lang in batch["lang"].to_pylist()])
+            chars, common = _shares(batch["chars"]), _shares(batch["common"])
+            enough = [np.array(batch["chars"].flatten().to_numpy()).reshape(batch.num_rows, -1).sum(axis=1) >= MIN_CHARS, batch["n_words"].to_numpy() >= MIN_WORDS]
+            found = [np.round(distance(chars, expected[:, : len(CLASSES)]), 6), np.round(distance(common, expected[:, len(CLASSES) :]), 6)]
+            names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+            yield pa.record_batch([*(batch[c] for c in names), *(pa.array(d, mask=~e) for d, e in zip(found, enough, strict=True))], [*names, "char_distance", "word_distance"])
+
+    return run
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -109,14 +144,8 @@ def judge(docs: DataFrame) -> DataFrame:
     """
     schema = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars array<long>, common array<long>"
     rows = staged(docs.select("doc_id", "lang", text_of().alias("text")).mapInArrow(_features, schema), "quality-features")
-    shares = rows.withColumn("p_chars", _share(F.col("chars"))).withColumn("p_common", _share(F.col("common")))
-    refs = staged(references(shares), "quality-references")  # RARE_LANGUAGE + 1 rows at most
-    known = refs.select("lang", F.lit(True).alias("_known"))
-    shares = shares.join(F.broadcast(known), "lang", "left").withColumn("_ref", F.when(F.col("_known"), F.col("lang")).otherwise(F.lit("*")))
-    shares = shares.join(F.broadcast(refs.withColumnRenamed("lang", "_ref")), "_ref", "left")
-    n_chars = F.aggregate("chars", F.lit(0).cast("long"), lambda a, x: a + x)
-    out = shares.withColumn("char_distance", F.when(n_chars >= MIN_CHARS, F.round(distance(F.col("p_chars"), F.col("ref_chars")), 6)))
-    out = out.withColumn("word_distance", F.when(F.col("n_words") >= MIN_WORDS, F.round(distance(F.col("p_common"), F.col("ref_common")), 6)))
+    counts = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+    out = rows.mapInArrow(_distances(references(rows)), counts + ", char_distance double, word_distance double")
     failed = (F.col("n_words") < BASE_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * BASE_REPEATED)
     near = (F.coalesce("char_distance", F.lit(0.0)) <= MAX_CHAR_DISTANCE) & (F.coalesce("word_distance", F.lit(0.0)) <= MAX_WORD_DISTANCE)
     out = out.withColumn("base_failed", failed).withColumn("kept", ~failed & near)
