@@ -9,6 +9,8 @@ are joined in the same way. A last tail is cut at powers of two, which need no p
 
 from __future__ import annotations
 
+import os
+import unicodedata
 import zlib
 
 import numpy as np
@@ -24,6 +26,8 @@ LENGTH = 2048
 OPEN = 64
 MERGED = 256
 END = 1
+#: Texts that are tokenized at once.
+AT_ONCE = 256
 
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, part long, ids binary"
 _TOKENIZERS: dict[str, WordTokens] = {}
@@ -32,29 +36,55 @@ _TOKENIZERS: dict[str, WordTokens] = {}
 class WordTokens(dict):
     """Token ids of white-space separated words as 16-bit bytes; keeps a bounded number of them.
 
-    The tokenizer drops white space and never joins text across it, so that a text's ids
-    are those of its words in order.
+    The tokenizer lower-cases, drops white space and never joins text across it, nor a letter
+    with the marks of MARKS behind it, so that a text's ids are those of its parts in order.
     """
 
-    LIMIT = 1 << 18
+    LIMIT = 1 << 19
+    MARKS = b".,!?;:*#$%&"
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-
-    def ids(self, text: bytes) -> np.ndarray:
-        words = text.split()
-        new = list({w for w in words if w not in self})
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
+        self.whole = Tokenizer.from_file(path)
+        self.letters = Tokenizer(self.whole.model)
+        self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+
+    def _encode(self, parts: list[bytes]) -> None:
+        plain, rest = [], []
+        for part in parts:
+            word = part.decode()
+            simple = word.isalpha() and word == word.lower() and unicodedata.is_normalized("NFC", word)
+            (plain if simple else rest).append((part, word))
+        if plain:  # one pre-token each, as it stands
+            found = self.letters.encode([w for _, w in plain], is_pretokenized=True, add_special_tokens=False)
+            ids, cuts = np.array(found.ids, np.uint16), np.searchsorted(np.array(found.word_ids), np.arange(len(plain) + 1))
+            for k, (part, _) in enumerate(plain):
+                self[part] = ids[cuts[k] : cuts[k + 1]].tobytes()
+        for (part, _), found in zip(rest, self.whole.encode_batch([w for _, w in rest], add_special_tokens=False), strict=True):
+            self[part] = np.array(found.ids, np.uint16).tobytes()
+
+    def learn(self, words: set[bytes]) -> None:
+        cores = {w: w.rstrip(self.MARKS) for w in words}
+        split = {w: core for w, core in cores.items() if len(core) < len(w) and core[-1:].isalpha()}  # bytes: ASCII letters only
+        parts = (words - split.keys()) | set(split.values()) | {w[len(c) :] for w, c in split.items()}
+        self._encode([p for p in parts if p not in self])
+        for w, core in split.items():
+            self[w] = self[core] + self[w[len(core) :]]
+
+    def ids(self, texts: list[bytes]) -> list[np.ndarray]:
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]  # special tokens are looked for before lower-casing
+        words = set().union(*split)
+        new = {w for w in words if w not in self}
         if len(self) + len(new) > self.LIMIT:
             self.clear()
-            new = list(set(words))
-        for at in range(0, len(new), 1 << 14):
-            some = new[at : at + (1 << 14)]
-            for word, encoding in zip(some, self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False), strict=True):
-                self[word] = np.array(encoding.ids, np.uint16).tobytes()
-        return np.frombuffer(b"".join(map(self.__getitem__, words)) + END.to_bytes(2, "little"), np.uint16)
+            new = words
+        if new:
+            self.learn(new)
+        end = END.to_bytes(2, "little")
+        return [np.frombuffer(b"".join(map(self.__getitem__, w)) + end, np.uint16) for w in split]
 
 
 def _tokenizer(path: str) -> WordTokens:
@@ -142,8 +172,11 @@ def _pack(path: str):
         base = part << 36
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), texts(batch["text"]), strict=True):
-                ids = tokens.ids(text)
+            doc_ids, found = batch["doc_id"].to_pylist(), texts(batch["text"])
+            for k, doc_id in enumerate(doc_ids):
+                if k % AT_ONCE == 0:
+                    some = tokens.ids(found[k : k + AT_ONCE])
+                ids = some[k % AT_ONCE]
                 out += packer.add(Piece(doc_id, 0, ids, len(ids)))
                 if len(out) >= 1024:
                     yield _rows(out, base + n, part)
