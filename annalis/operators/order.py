@@ -1,9 +1,10 @@
 """Exact order statistics that never sort a whole group in one task.
 
 Rows are first counted per distinct value, so heavy ties (for instance a third of
-all rows being zero) shrink to one row. When the distinct values are still too many
-for one task, they are cut into value ranges; each range is summed by its own task
-and the totals of the ranges before it are added.
+all rows being zero) shrink to one row. The counts are written once and cut into as many
+value ranges as there are shuffle partitions; each range is summed by its own task and
+the totals of the ranges before it are added. Tables of every size take this path. NaN
+counts as NULL.
 """
 
 from __future__ import annotations
@@ -15,60 +16,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annalis.functions.scalar import ratio
+from annalis.session import staged
 
-VALUES_PER_TASK = 1_000_000
-MAX_RANGES = 2_000
-BYTES_PER_TASK = 64 << 20
-
-
-def surely_small(df: DataFrame) -> bool:
-    """Spark's own size estimate, as used for broadcast decisions, fits one task."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) <= BYTES_PER_TASK
+def known(value: str) -> Column:
+    """Neither NULL nor NaN."""
+    return F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
 
 
 def tally(df: DataFrame, by: list[str], value: str, sums: dict[str, Column] | None = None) -> DataFrame:
-    """One row per distinct non-NULL value: ``n`` rows and the requested sums."""
+    """One row per distinct value that is known: ``n`` rows and the requested sums."""
     extra = [F.sum(c).alias(name) for name, c in (sums or {}).items()]
-    return df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"), *extra)
+    return df.where(known(value)).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"), *extra)
 
 
-def value_ranges(counted: DataFrame, value: str, per_task: int | None = None) -> list[float]:
-    """Cut points between value ranges; none when one task can hold all distinct values.
-    Tables that Spark estimates to be small are not counted.
+def value_ranges(counted: DataFrame, value: str, ranges: int | None = None) -> list[float]:
+    """Cut points between ``ranges`` value ranges, by default one per shuffle partition.
 
     Any cut points give the same result, so approximate percentiles are enough.
     """
-    if per_task is None and surely_small(counted):
-        return []
-    per_task = per_task or VALUES_PER_TASK
-    rows = counted.count()
-    if rows <= per_task:
-        return []
-    ranges = min(MAX_RANGES, -(-rows // per_task) * 2)
-    probs = [i / ranges for i in range(1, ranges)]
-    return sorted(set(counted.approxQuantile(value, probs, 0.5 / ranges)))
+    n = ranges or int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    probs = [i / n for i in range(1, n)]
+    values = counted.select(F.col(value).cast("double").alias("v"))
+    return sorted(set(values.approxQuantile("v", probs, 0.5 / n))) if probs else []
 
 
 def running_totals(
-    counted: DataFrame, by: list[str], value: str, sums: list[str], descending: bool = False, per_task: int | None = None
+    counted: DataFrame, by: list[str], value: str, sums: list[str], descending: bool = False, ranges: int | None = None
 ) -> DataFrame:
     """Add ``before_<s>`` (sum over the values ranked before) and ``all_<s>`` per group.
 
     ``counted`` has one row per (group, value).
     """
     direction = F.col(value).desc() if descending else F.col(value).asc()
-    cuts = value_ranges(counted, value, per_task)
-    if not cuts:
-        group = Window.partitionBy(*by)
-        before = group.orderBy(direction).rowsBetween(Window.unboundedPreceding, -1)
-        return counted.select(
-            "*",
-            *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"before_{s}") for s in sums],
-            *[F.sum(s).over(group).alias(f"all_{s}") for s in sums],
-        )
-    splits = [float("-inf"), *cuts, float("inf")]
-    ranged = Bucketizer(splits=splits, inputCol=value, outputCol="_range").transform(counted)
+    counted = staged(counted, "tally")
+    splits = [float("-inf"), *value_ranges(counted, value, ranges), float("inf")]
+    ranged = counted.withColumn("_value", F.col(value).cast("double")).withColumn("_range", F.lit(0.0))
+    if len(splits) > 2:  # else there is one value at most, or one range was asked for
+        ranged = Bucketizer(splits=splits, inputCol="_value", outputCol="_range").transform(ranged.drop("_range"))
     range_order = F.col("_range").desc() if descending else F.col("_range").asc()
     group = Window.partitionBy(*by)
     earlier = group.orderBy(range_order).rowsBetween(Window.unboundedPreceding, -1)
@@ -89,17 +73,17 @@ def running_totals(
 
 
 def quantiles(
-    df: DataFrame, by: list[str], value: str, probs: dict[str, float], per_task: int | None = None
+    df: DataFrame, by: list[str], value: str, probs: dict[str, float], ranges: int | None = None
 ) -> DataFrame:
     """Exact linear-interpolated quantiles, one row per group that has a value."""
-    return quantiles_of_counts(tally(df, by, value), by, value, probs, per_task)
+    return quantiles_of_counts(tally(df, by, value), by, value, probs, ranges)
 
 
 def quantiles_of_counts(
-    counted: DataFrame, by: list[str], value: str, probs: dict[str, float], per_task: int | None = None
+    counted: DataFrame, by: list[str], value: str, probs: dict[str, float], ranges: int | None = None
 ) -> DataFrame:
     """Quantiles from one row per (group, value) with its number of rows ``n``."""
-    ordered = running_totals(counted, by, value, ["n"], per_task=per_task)
+    ordered = running_totals(counted, by, value, ["n"], ranges=ranges)
 
     def covers(position: Column) -> Column:
         return (F.col("before_n") <= position) & (position < F.col("before_n") + F.col("n"))
@@ -136,9 +120,9 @@ def column_quantiles(df: DataFrame, by: list[str], cols: list[str], probs: dict[
     return quantiles(stacked(df, by, cols), [*by, "column"], "value", probs)
 
 
-def average_ranks(counted: DataFrame, by: list[str], value: str, out: str, per_task: int | None = None) -> DataFrame:
+def average_ranks(counted: DataFrame, by: list[str], value: str, out: str, ranges: int | None = None) -> DataFrame:
     """Rank of each distinct value; tied rows share their mean rank. Adds ``<out>_of``, the group size."""
-    ordered = running_totals(counted, by, value, ["n"], per_task=per_task)
+    ordered = running_totals(counted, by, value, ["n"], ranges=ranges)
     return ordered.select(
         *by,
         value,
@@ -148,21 +132,21 @@ def average_ranks(counted: DataFrame, by: list[str], value: str, out: str, per_t
 
 
 def spearman(
-    df: DataFrame, by: list[str], x: str, y: str, min_rows: int = 1, out: str = "spearman", per_task: int | None = None
+    df: DataFrame, by: list[str], x: str, y: str, min_rows: int = 1, out: str = "spearman", ranges: int | None = None
 ) -> DataFrame:
     """Rank correlation per group over the rows where both values are known.
 
     NULL when a side is constant or there are fewer than ``min_rows`` rows.
     """
     pairs = (
-        df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+        df.where(known(x) & known(y))
         .groupBy(*by, F.col(x).alias("_x"), F.col(y).alias("_y"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
     sides = []
     for side in ("_x", "_y"):
         counted = pairs.groupBy(*by, side).agg(F.sum("n").alias("n"))
-        sides.append(average_ranks(counted, by, side, f"{side}_rank", per_task))
+        sides.append(average_ranks(counted, by, side, f"{side}_rank", ranges))
     ranked = pairs.join(sides[0], [*by, "_x"]).join(sides[1].drop("_y_rank_of"), [*by, "_y"])
     middle = (F.col("_x_rank_of") + 1) / 2
     dx, dy = F.col("_x_rank") - middle, F.col("_y_rank") - middle

@@ -19,31 +19,31 @@ def values(spark):
     return pdf, spark.createDataFrame(pdf).cache()
 
 
-@pytest.mark.parametrize("per_task", [None, 40])
-def test_quantiles(values, per_task):
+@pytest.mark.parametrize("ranges", [None, 1, 40])
+def test_quantiles(values, ranges):
     pdf, df = values
     probs = {"a": 0.05, "b": 0.5, "c": 0.8, "d": 1.0}
-    got = {r["g"]: [r[k] for k in probs] for r in order.quantiles(df, ["g"], "x", probs, per_task=per_task).collect()}
+    got = {r["g"]: [r[k] for k in probs] for r in order.quantiles(df, ["g"], "x", probs, ranges=ranges).collect()}
     for g, part in pdf.groupby("g"):
         assert got[g] == pytest.approx(np.quantile(part.x, list(probs.values())))
 
 
 @pytest.mark.parametrize("descending", [False, True])
-def test_ranges_equal_one_task(values, descending):
+def test_many_ranges_equal_one(values, descending):
     _, df = values
     counted = order.tally(df, ["g"], "x", {"s": F.col("y")})
     assert len(order.value_ranges(counted, "x", 40)) > 5
     one, many = (
-        order.running_totals(counted, ["g"], "x", ["n", "s"], descending=descending, per_task=k).toPandas().sort_values(["g", "x"]).reset_index(drop=True)
-        for k in (10**6, 40)
+        order.running_totals(counted, ["g"], "x", ["n", "s"], descending=descending, ranges=k).toPandas().sort_values(["g", "x"]).reset_index(drop=True)
+        for k in (1, 40)
     )
     pd.testing.assert_frame_equal(one, many[one.columns], check_exact=False)
 
 
-@pytest.mark.parametrize("per_task", [None, 40])
-def test_spearman(values, per_task):
+@pytest.mark.parametrize("ranges", [None, 1, 40])
+def test_spearman(values, ranges):
     pdf, df = values
-    got = {r["g"]: r["spearman"] for r in order.spearman(df, ["g"], "x", "y", per_task=per_task).collect()}
+    got = {r["g"]: r["spearman"] for r in order.spearman(df, ["g"], "x", "y", ranges=ranges).collect()}
     for g, part in pdf.groupby("g"):
         assert got[g] == pytest.approx(part.x.rank().corr(part.y.rank()))
 
@@ -75,3 +75,15 @@ def test_top_k_limits_groups_before_the_shuffle(values):
 def test_quantiles_of_empty_groups_are_left_out(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", None)], "g string, v double")
     assert [(r["g"], r["m"]) for r in order.quantiles(df, ["g"], "v", {"m": 0.5}).collect()] == [("a", 1.5)]
+
+
+@pytest.mark.parametrize("partitions", ["1", "200"])
+def test_nan_counts_as_null(spark, partitions):
+    df = spark.range(1000).select(F.lit("g").alias("g"), F.when(F.col("id") % 10 == 0, F.lit("NaN").cast("double")).otherwise(F.col("id").cast("double")).alias("x"))
+    want = np.quantile([k for k in range(1000) if k % 10], 0.5)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        assert order.quantiles(df, ["g"], "x", {"m": 0.5}).first()["m"] == pytest.approx(want)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
