@@ -38,7 +38,7 @@ ROUNDS = ("run", "pair", "pair")
 MARGIN, WIDEST = 8, 8
 REACH = (WINDOW - 2 * MARGIN) // 2
 #: Holders of one key whose windows share a task in the comparison.
-HOLDERS = 4096
+HOLDERS = 1024
 LAST = (1 << 63) - 1
 
 _RUN, _PAIR = U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F)
@@ -144,46 +144,58 @@ def _shared(batches):
 
 
 def _windows(batches):
-    """The windows that the live keys of each text own."""
+    """The windows that the live keys of each text own: one row per owner with the hashes of its windows."""
     hashes = WordHashes()
     for batch in batches:
-        cols = [[], [], [], [], []]
+        cols, sizes, values = [[], [], [], [], []], [np.zeros(1, np.int64)], [np.zeros(0, np.int64)]
         for text, key, ident, live, ranks in zip(texts(batch["text"]), batch["_key"].to_numpy(), batch["id"].to_numpy(), batch["live"].to_pylist(), batch["ranks"].to_pylist(), strict=True):
             words = hashes.of(text.split())
             at = owners(words)
-            own = anchor_keys(words, at).astype(np.int64)
+            starts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+            lengths = np.diff(np.append(starts, len(at)))
+            own = anchor_keys(words, at[starts]).astype(np.int64)
             order = np.argsort(np.array(live, np.int64))
             known, salts = np.array(live, np.int64)[order], np.array(ranks, np.int64)[order] // HOLDERS
             pos = np.minimum(np.searchsorted(known, own), len(known) - 1)
-            some = np.flatnonzero(known[pos] == own)
-            for col, value in zip(cols, (window_hashes(words)[some].astype(np.int64), (own[some] & 0x7FFFFFFF) << 32 | salts[pos[some]], np.full(len(some), ident), np.full(len(some), key), some), strict=True):
+            found = known[pos] == own
+            some = np.flatnonzero(found)
+            for col, value in zip(cols, (own[some], salts[pos[some]], np.full(len(some), ident), np.full(len(some), key), starts[some]), strict=True):
                 col.append(value)
-        yield pa.record_batch([pa.array(np.concatenate(c).astype(np.int64)) if c else pa.array([], pa.int64()) for c in cols], ["h", "c", "id", "key", "s"])
+            sizes.append(lengths[some])
+            values.append(window_hashes(words)[np.repeat(found, lengths)].astype(np.int64))
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)), pa.int32()), pa.array(np.concatenate(values)))
+        yield pa.record_batch([*(pa.array(np.concatenate(c).astype(np.int64)) if c else pa.array([], pa.int64()) for c in cols), lists], ["k", "salt", "id", "key", "s", "h"])
 
 
 def _later(batches):
-    """From rows sorted by (h, c, id): first says that no smaller id has the window in this run."""
-    last, low = None, None
+    """From rows sorted by (k, salt, id): bit j of ``late`` says that a smaller id of this run has window s + j.
+
+    A run has HOLDERS texts at most. Hashes go on only while a window is the first of its run.
+    """
+    run, low = None, {}
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        h, c, ids = (batch[x].to_numpy() for x in ("h", "c", "id"))
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
-        if last == (h[0], c[0]):
-            new[0] = False
-        run = np.cumsum(new)
-        lows = np.append(0 if low is None else low, ids[new])[run]
-        last, low = (h[-1], c[-1]), lows[-1]
-        yield pa.record_batch([*batch.columns, pa.array(ids == lows)], [*batch.schema.names, "first"])
+        late, hashes = [], []
+        for k, salt, ident, own in zip(*(batch[c].to_pylist() for c in ("k", "salt", "id", "h")), strict=True):
+            if run != (k, salt):
+                run, low = (k, salt), {}
+            bits = 0
+            for j, h in enumerate(own):
+                if low.setdefault(h, ident) < ident:
+                    bits |= 1 << j
+            late.append(bits)
+            hashes.append(None if bits == (1 << len(own)) - 1 else own)
+        yield pa.record_batch([batch["k"], batch["id"], batch["key"], batch["s"], pa.array(late, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], ["k", "id", "key", "s", "late", "h"])
 
 
 def _spans(batches):
-    """Removed word ranges of each text from the starts of its removed windows."""
+    """Removed word ranges of each text from its removed windows: bit j of ``late`` stands for the window at s + j."""
     for batch in batches:
         starts, ends = [], []
         for found in batch["at"].to_pylist():
-            s = np.unique(np.array(found, np.int64))
+            first, late = np.array([x["s"] for x in found], np.int64), np.array([x["late"] for x in found], np.int64)
+            s = np.unique(np.concatenate([first[(late >> j) & 1 == 1] + j for j in range(REACH)]))
             cut = np.append(True, s[1:] > s[:-1] + WINDOW)
             starts.append(s[cut])
             ends.append(s[np.append(cut[1:], True)] + WINDOW)
@@ -225,15 +237,18 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     live = shared.groupBy("key").agg(F.min("id").alias("id"), F.collect_list("k").alias("live"), F.collect_list("rank").alias("ranks"))
     live = staged(live.join(whole, "key", "left_anti"), "live-passages")
     narrowed = likely_in(base.select("_key", "text"), live.select(F.col("key").alias("_key")), "_key")
-    windows = narrowed.join(live.withColumnRenamed("key", "_key"), "_key").mapInArrow(_windows, "h long, c long, id long, key long, s long")
-    judged = staged(windows.repartition("h", "c").sortWithinPartitions("h", "c", "id").mapInArrow(_later, "h long, c long, id long, key long, s long, first boolean"), "windows")
-    sure = judged.filter("NOT first").select("key", "s")
-    salt, plain = F.col("c").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftright("c", 32)
-    several = staged(judged.filter(salt > 0).select("h", plain.alias("c")).distinct(), "split-windows")  # of keys with more than HOLDERS holders
-    open_ = judged.filter("first").withColumn("c", plain).join(several, ["h", "c"], "left_semi")
-    lows = open_.groupBy("h", "c").agg(F.min("id").alias("low"))
-    late = open_.join(lows, ["h", "c"]).filter("id > low").select("key", "s")
-    spans = sure.unionByName(late).groupBy("key").agg(F.collect_list("s").alias("at")).mapInArrow(_spans, "key long, starts array<long>, ends array<long>")
+    windows = narrowed.join(live.withColumnRenamed("key", "_key"), "_key").mapInArrow(_windows, "k long, salt long, id long, key long, s long, h array<long>")
+    judged = windows.repartition("k", "salt").sortWithinPartitions("k", "salt", "id").mapInArrow(_later, "k long, id long, key long, s long, late long, h array<long>")
+    judged = staged(judged, "windows")
+    sure = judged.filter("late <> 0").select("key", "s", "late")
+    split = live.filter(F.exists("ranks", lambda r: r >= HOLDERS)).select(F.explode(F.arrays_zip("live", "ranks")).alias("x"))
+    split = split.filter(F.col("x.ranks") >= HOLDERS).select(F.col("x.live").alias("k")).distinct()  # keys whose holders are in several runs
+    some = likely_in(judged.filter("h IS NOT NULL"), split, "k").select("k", "id", "key", "s", "late", F.posexplode("h").alias("j", "h"))
+    some = staged(some.filter("(late >> j) & 1 = 0").select("k", "h", "id", "key", (F.col("s") + F.col("j")).alias("s")), "split-windows")
+    lows = some.groupBy("h", "k").agg(F.min("id").alias("low"))
+    late = some.join(lows, ["h", "k"]).filter("id > low").select("key", "s", F.lit(1).cast("long").alias("late"))
+    found = sure.unionByName(late).groupBy("key").agg(F.collect_list(F.struct("s", "late")).alias("at"))
+    spans = found.mapInArrow(_spans, "key long, starts array<long>, ends array<long>")
     return survey.join(whole.withColumn("whole", F.lit(True)), "key", "left").select("doc_id", "key", "n", "sha", F.coalesce("whole", F.lit(False)).alias("whole")), staged(spans, "passage-spans")
 
 
