@@ -157,7 +157,7 @@ LEAK_COLS = ["ap", "ab", "ab_f", "ab_o", "copy_T1", "ab_f_T1"]
 
 
 @query("a15_leak_candidates", "SELECT * FROM (\n" + "\nUNION ALL\n".join(
-    f"""SELECT '{c}' AS "column", '{t}' AS target, {"true" if c != t and c.replace("_T1", "") in t.replace("_T1", "") else "false"} AS by_name,
+    f"""SELECT '{c}' AS "column", '{t}' AS target, '{c}' <> '{t}' AND list_has_all(string_split('{t}', '_'), string_split('{c}', '_')) AS by_name,
     coalesce(abs(corr({"ab_T1 * 2" if c == "copy_T1" else c}, {t})) > 0.95, false) AS by_corr FROM lp""" for c in LEAK_COLS for t in TARGETS) + "\n) WHERE by_name OR by_corr")
 def leak_candidates(spark, sf):
     p = ad.longitudinal_panel(spark, sf).withColumn("copy_T1", F.col("ab_T1") * 2)

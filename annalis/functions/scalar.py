@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from annalis.fixed_values import CATEGORY_SYNONYMS, MEASURE_CODES, MISSING_MARKER, PRIVATE_CATEGORY
+from annalis.fixed_values import CATEGORY_SYNONYMS, MEASURE_CODES, MISSING_MARKER, PRIVATE_CATEGORY, STAGE_PATTERNS
 
 
 def col(c: Column | str) -> Column:
@@ -79,37 +79,21 @@ def coalesce_candidates(candidates: list[str], available: list[str]) -> Column:
     return F.coalesce(*[to_number_lenient(F.col(f"`{c}`")) for c in present])
 
 
+def semantic_rules() -> list[tuple[str, str]]:
+    """(pattern, key) pairs for rate column names; the first that matches counts."""
+    coded = [(rf"^(?:{m.digit}_CAT|(?i:{m.key}))_(.+)$", f"{m.key}_$1") for m in MEASURE_CODES]
+    spelled = [
+        (rf"(?iu)^(?:taxa de )?{m.stem}{pattern}.*$", f"{m.key}_{stage}")
+        for m in MEASURE_CODES
+        for pattern, stage in STAGE_PATTERNS
+    ]
+    return coded + spelled
+
+
 def semantic_key(name: Column | str) -> Column:
     """Reduce a rate column name of any layout generation to one key such as TAP_FUN_AF."""
     name = col(name)
-    low = F.lower(name)
-    new_code = F.regexp_extract(name, r"^([123])_CAT_(.+)$", 1)
-    new_rest = F.regexp_extract(name, r"^([123])_CAT_(.+)$", 2)
-    old_code = F.upper(F.regexp_extract(name, r"(?i)^(tap|tre|tab)_(.+)$", 1))
-    old_rest = F.regexp_extract(name, r"(?i)^(tap|tre|tab)_(.+)$", 2)
-    new_key = reduce(
-        lambda acc, kv: F.when(new_code == kv[0], F.concat(F.lit(kv[1] + "_"), new_rest)).otherwise(acc),
-        [(m.digit, m.key) for m in MEASURE_CODES],
-        F.lit(None).cast("string"),
-    )
-    grade = F.regexp_extract(low, r"_med(?:io)?_?(\d{2})?", 1)
-
-    def long_name(stem: str, key: str) -> Column:
-        mine = low.startswith(stem) | low.startswith(f"taxa de {stem}")
-        stage = (
-            F.when(low.contains("anos finais") | low.contains("_af"), F.lit(f"{key}_FUN_AF"))
-            .when(low.contains("anos iniciais") | low.contains("_ai"), F.lit(f"{key}_FUN_AI"))
-            .when((low.contains("médio") | low.contains("medio")) & (grade != ""), F.concat(F.lit(f"{key}_MED_"), grade))
-            .when(low.contains("médio") | low.contains("medio"), F.lit(f"{key}_MED"))
-        )
-        return F.when(mine, stage)
-
-    spelled = F.coalesce(*[long_name(m.stem, m.key) for m in MEASURE_CODES])
-    return (
-        F.when(new_code != "", new_key)
-        .when(old_code != "", F.concat(old_code, F.lit("_"), old_rest))
-        .otherwise(spelled)
-    )
+    return F.coalesce(*[F.when(name.rlike(pattern), F.regexp_replace(name, pattern, key)) for pattern, key in semantic_rules()])
 
 
 def null_skipping_sum(cols: list[str]) -> Column:
