@@ -107,11 +107,21 @@ def _groups(n: int) -> set[int]:
     return {1 << (_prefix(size).bit_length() - 1) for size in (n, n * 100 // PERCENT)}
 
 
-def index_keys(tokens: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, bool]:
-    """Index keys of a set, rare prefix tokens (even) and pairs of frequent ones (odd); and if the former are its whole prefix."""
+def parity_bits(tokens: np.ndarray) -> np.ndarray:
+    """Parity bitmap of a set in 64-bit words, a power of two of them, with 2 to 4 bits a token.
+
+    The halves of a bitmap, combined by exclusive or, are the bitmap of half the length.
+    """
+    words = 1 << max(0, -(-len(tokens) // 32) - 1).bit_length()
+    odd = np.bincount((mix(tokens) & U64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(U64)
+
+
+def index_keys(tokens: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Index keys of a set: rare prefix tokens (even) and pairs of frequent ones (odd)."""
     n = len(tokens)
     if n == 0:
-        return tokens, True
+        return tokens
     own = classes[(tokens >> U64(64 - SKETCH_BITS)).astype(np.int64)]
     order = np.argsort(own, kind="stable")
     ranked, frequent = tokens[order], own[order] > 0
@@ -129,21 +139,21 @@ def index_keys(tokens: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, boo
                     break
                 a, b = some[:-d][same], some[d:][same]
                 keys.append(mix(mix(np.minimum(a, b)) ^ np.maximum(a, b) ^ U64(g)) | U64(1))
-    return np.unique(np.concatenate(keys)), not frequent[p - 1]
+    return np.unique(np.concatenate(keys))
 
 
 def _index_rows(classes: np.ndarray):
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            digests, sizes, keys, plain = [], [], [], []
+            digests, sizes, keys, bits = [], [], [], []
             for tokens in _sets(batch["text"], hashes):
-                own, rare = index_keys(tokens, classes)
                 digests.append(_digest(tokens) if len(tokens) else None)
                 sizes.append(len(tokens))
-                keys.append(own.astype(np.int64))
-                plain.append(rare)
-            yield pa.record_batch([batch["_key"], pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(plain)], ["key", "digest", "n", "keys", "plain"])
+                keys.append(index_keys(tokens, classes).astype(np.int64))
+                bits.append(parity_bits(tokens).view(np.int64))
+            longs = pa.list_(pa.int64())
+            yield pa.record_batch([batch["_key"], pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, longs), pa.array(bits, longs)], ["key", "digest", "n", "keys", "bits"])
 
     return run
 
@@ -170,11 +180,6 @@ def _with_both(pairs: DataFrame, facts: DataFrame, names: list[str]) -> DataFram
     return pairs
 
 
-def _rest(n: Column) -> Column:
-    """Tokens of a set of size n behind its prefix."""
-    return F.floor((n * PERCENT + 99) / 100) - 1
-
-
 def _may_link(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
     """If two nodes (size, sharable) can be similar; sharable is the size without rare prefix tokens that no other set has in its prefix."""
     (n, upper), (m, other) = a, b
@@ -182,21 +187,25 @@ def _may_link(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
     return size & (F.least(upper, other) * (100 + PERCENT) >= (n + m) * PERCENT)
 
 
+def _differing(a: Column, b: Column) -> Column:
+    """Bits in which two parity bitmaps differ; the longer one is folded to the length of the other."""
+    half = lambda x, y: F.when(F.size(x) > F.size(y), F.zip_with(F.slice(x, 1, F.size(y)), F.slice(x, F.size(y) + 1, F.size(y)), lambda u, v: u.bitwiseXOR(v))).otherwise(x)
+    return F.aggregate(F.zip_with(half(a, b), half(b, a), lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, v: s + v)
+
+
 def _possible(pairs: DataFrame, nodes: DataFrame, facts: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) that sizes, sharable tokens and whole prefixes do not rule out.
+    """Distinct pairs (a < b) that sizes, sharable tokens and parity bitmaps do not rule out.
 
-    The tokens that two sets share are those that their prefixes share, and at most the
-    rest of the set whose prefix ends first. Prefixes with frequent tokens are not compared.
+    Sizes come first: those that pass differ by a quarter at most, so that one folding is enough.
     """
     pairs = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     sized = _with_both(pairs, facts, ["n", "upper"]).filter(_may_link((F.col("n_a"), F.col("upper_a")), (F.col("n_b"), F.col("upper_b"))))
     sized = staged(sized.select("a", "b"), "pairs")
     own = _nodes_of(sized)
-    prefixes = staged(likely_in(nodes.select("node", "n", "plain", F.when(F.col("plain"), F.col("keys")).alias("keys")), own, "node").join(own, "node", "left_semi"), "prefixes")
-    both = _with_both(sized, prefixes, ["n", "plain", "keys"])
-    most = F.size(F.array_intersect("keys_a", "keys_b")) + F.greatest(_rest(F.col("n_a")), _rest(F.col("n_b")))
-    near = most * (100 + PERCENT) >= (F.col("n_a") + F.col("n_b")) * PERCENT
-    return staged(both.filter(~F.col("plain_a") | ~F.col("plain_b") | near).select("a", "b"), "possible-pairs")
+    bitmaps = staged(likely_in(nodes.select("node", "n", "bits"), own, "node").join(own, "node", "left_semi"), "bitmaps")
+    both, size = _with_both(sized, bitmaps, ["n", "bits"]), F.col("n_a") + F.col("n_b")
+    near = (size - _differing(F.col("bits_a"), F.col("bits_b"))) * (100 + PERCENT) >= 2 * PERCENT * size
+    return staged(both.filter(near).select("a", "b"), "possible-pairs")
 
 
 def _strays(postings: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -236,8 +245,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         counters[r["chunk"] * _CHUNK : (r["chunk"] + 1) * _CHUNK] = np.frombuffer(r["counters"], np.int64)
     classes = frequency_classes(counters)
 
-    keyed = base.mapInArrow(_index_rows(classes), "key long, digest binary, n long, keys array<long>, plain boolean").filter("digest IS NOT NULL")
-    nodes = keyed.groupBy("digest").agg(F.min("key").alias("key"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("plain").alias("plain"), F.first("keys").alias("keys"))
+    keyed = base.mapInArrow(_index_rows(classes), "key long, digest binary, n long, keys array<long>, bits array<long>").filter("digest IS NOT NULL")
+    nodes = keyed.groupBy("digest").agg(F.min("key").alias("key"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
     nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "shingle-nodes")
     index = nodes.select(F.explode("keys").alias("k"), "node")
     shared = staged(index.groupBy("k").agg(F.count("*").alias("m"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("m > 1"), "shared-keys")

@@ -122,7 +122,7 @@ def test_similar_sets_share_a_key(size):
         b = np.unique(np.append(b, rng.integers(0, 1 << 63, max(1, size // 12)).astype(np.uint64)))
         both = len(np.intersect1d(a, b))
         if 100 * both >= 80 * (len(a) + len(b) - both):
-            assert len(np.intersect1d(ngram_join.index_keys(a, classes)[0], ngram_join.index_keys(b, classes)[0]))
+            assert len(np.intersect1d(ngram_join.index_keys(a, classes), ngram_join.index_keys(b, classes)))
 
 
 def test_no_rows(make):
@@ -154,3 +154,20 @@ def test_many_holders_are_split(make, monkeypatch):
     passage = sentence(rng, 60)
     rows = [(k, " ".join(sentence(rng, 15) + passage + sentence(rng, 15))) for k in range(40)]
     assert sorted(tuple(r) for r in substring.digests(make(rows)).collect()) == cut(rows)
+
+
+def test_parity_bitmaps_bound_the_difference_of_sets(spark):
+    rng = np.random.default_rng(5)
+    rows, sizes = [], [1, 2, 31, 32, 33, 40, 64, 80, 127, 128, 129, 160, 500, 620, 6000]
+    for n in sizes:
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        for kept in (0, n // 2, n - n // 10, n):
+            for m in (n, min(n + n // 4, kept + n)):
+                b = np.unique(np.append(a[:kept], rng.integers(0, 1 << 63, m - kept, dtype=np.uint64)))
+                if 100 * min(len(a), len(b)) >= 80 * max(len(a), len(b)):
+                    rows.append((len(np.setxor1d(a, b)), *(ngram_join.parity_bits(x).view(np.int64).tolist() for x in (a, b))))
+    df = spark.createDataFrame(rows, "real long, a array<long>, b array<long>")
+    for x, y in (("a", "b"), ("b", "a")):
+        found = df.select("real", ngram_join._differing(df[x], df[y]).alias("bits")).collect()
+        assert all(r.bits <= r.real and (r.real - r.bits) % 2 == 0 for r in found)
+        assert sum(r.bits for r in found) > 0.6 * sum(r.real for r in found)
