@@ -15,8 +15,8 @@ MARGIN words after its start to MARGIN words before its end.
 
 Of the symbols that start in the REACH words behind the margin of a window, the one with
 the smallest name owns the window; equal windows have equal owners. An owner's key is the
-hash of the REACH words from its start. Keys that are in one document only rule out all
-windows of that owner. The windows of shared keys are then hashed whole and compared; every
+hash of the CONTEXT words around its start that all of its windows hold. Keys that are in one
+document only rule out all windows of that owner. The windows of shared keys are then hashed whole and compared; every
 one that also starts in a document with a smaller id is removed.
 """
 
@@ -37,6 +37,8 @@ WINDOW = 50
 ROUNDS = ("run", "pair", "pair")
 MARGIN, WIDEST = 8, 8
 REACH = (WINDOW - 2 * MARGIN) // 2
+#: Words from MARGIN before the start of an owner on that are in every window it can own.
+CONTEXT = WINDOW - REACH + 1
 #: Holders of one key whose windows share a task in the comparison.
 HOLDERS = 1024
 LAST = (1 << 63) - 1
@@ -82,7 +84,7 @@ def owners(words: np.ndarray) -> np.ndarray:
 
 
 def anchor_keys(words: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return mix(rolling(words, REACH))[at]
+    return mix(rolling(words, CONTEXT))[at - MARGIN]
 
 
 _POWER = U64(0x9E3779B97F4A7C15)
