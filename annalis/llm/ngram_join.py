@@ -180,11 +180,22 @@ def _with_both(pairs: DataFrame, facts: DataFrame, names: list[str]) -> DataFram
     return pairs
 
 
+def _needed(n: Column) -> Column:
+    return F.floor((n * PERCENT + 99) / 100)
+
+
 def _may_link(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
-    """If two nodes (size, sharable) can be similar; sharable is the size without rare prefix tokens that no other set has in its prefix."""
+    """If two nodes (size, sharable) can be similar; sharable is the size without rare prefix tokens that no other set has in its prefix.
+
+    Such a token may still be in the other set, behind its prefix. Of an overlap o, at most needed - 1
+    tokens of the larger set lie behind one of the prefixes, so that o - needed + 1 or more are in both;
+    with sharable >= n - prefix + those in both, sharable >= o for the larger set, and for the smaller
+    one sharable + its lack of needed tokens against the larger >= o.
+    """
     (n, upper), (m, other) = a, b
     size = (n * 100 >= m * PERCENT) & (m * 100 >= n * PERCENT)
-    return size & (F.least(upper, other) * (100 + PERCENT) >= (n + m) * PERCENT)
+    overlap = F.least(upper - _needed(n), other - _needed(m)) + _needed(F.greatest(n, m))
+    return size & (overlap * (100 + PERCENT) >= (n + m) * PERCENT)
 
 
 def _differing(a: Column, b: Column) -> Column:

@@ -111,6 +111,26 @@ def test_near_duplicates_with_frequent_tokens(make, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()) == components(rows)
 
 
+def truncated():
+    """Texts and copies of them without their last or first words, at similarities from just below 0.80 to 0.86."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(60):
+        words = sentence(rng, rng.randrange(80, 400), 10**6)
+        n = len(words) - 4
+        kept = -(-n * (79 + k % 8) // 100) + 4
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:kept] if k % 2 else words[-kept:]))]
+    return rows
+
+
+def test_truncated_copies_are_linked(make):
+    rows = truncated()
+    want = components(rows)
+    assert 40 < len(rows) - len({c for _, _, c in want}) < 60
+    found = ngram_join.near_duplicates(make(rows))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()) == want
+
+
 @pytest.mark.parametrize("size", [5, 6, 9, 30, 200])
 def test_similar_sets_share_a_key(size):
     """The prefix guarantee, with mixed, all rare and all frequent tokens."""
