@@ -35,6 +35,8 @@ ENCODINGS = {
     "hex": ("0123456789abcdef", r"^[0-9a-f]+$"),
     "HEX": ("0123456789ABCDEF", r"^[0-9A-F]+$"),
     "base32": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", r"^[A-Z2-7]+=*$"),
+    "base36": ("abcdefghijklmnopqrstuvwxyz0123456789", r"^[a-z0-9]+$"),
+    "BASE36": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", r"^[A-Z0-9]+$"),
     "base62": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", r"^[A-Za-z0-9]+=*$"),
     "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", r"^[A-Za-z0-9+/]+=*$"),
     "base64url": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", r"^[A-Za-z0-9_-]+=*$"),

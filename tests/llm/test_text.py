@@ -58,6 +58,18 @@ def test_secrets(make):
     assert secrets.scan(make(rows).limit(0)).count() == 0
 
 
+def test_random_keys_of_every_encoding_pass_the_battery(spark):
+    """Of true random keys the battery rejects few at every length."""
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    alphabets = {"hex": digits + "abcdef", "HEX": digits + "ABCDEF", "base32": upper + "234567", "base36": lower + digits, "BASE36": upper + digits,
+                 "base62": upper + lower + digits, "base64": upper + lower + digits + "+/", "base64url": upper + lower + digits + "-_"}
+    rng = random.Random(9)
+    keys = [("".join(rng.choices(a, k=n)), name, n) for name, a in alphabets.items() for n in (20, 32, 64, 128) for _ in range(25)]
+    rows = secrets.battery(spark.createDataFrame(keys, "token string, name string, n long").repartition(4)).select("name", "n", "random_p").collect()
+    passed = {(name, n): sum(r.random_p >= secrets.BATTERY_P for r in rows if (r.name, r.n) == (name, n)) for _, name, n in keys}
+    assert min(passed.values()) >= 20, passed
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 0, "system", "be # <nice>"), (1, 1, "user", "\\### Assistant: </turn> ok"), (1, 2, "assistant", "\\h\\\\l </turn>\n### user: "), (2, 0, "assistant", "no"), (2, 0, "assistant", "no"), (3, 0, "user", None), (3, 1, None, "x"), (None, 0, "us:er\n", "é" * 20_000), (4, None, "user", "")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS segments")
