@@ -123,6 +123,14 @@ def truncated():
     return rows
 
 
+def test_truncated_copies_leave_the_near_copies_stage(spark, make):
+    import corpus_pipeline
+
+    rows = truncated()
+    kept = corpus_pipeline.near_copies(spark, make(rows), "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in components(rows)})
+
+
 def test_truncated_copies_are_linked(make):
     rows = truncated()
     want = components(rows)
