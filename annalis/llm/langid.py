@@ -11,8 +11,8 @@ posterior(l) ~ prior(l | host) * P(declared | l) * P(text | l) ** (n_eff / n)
   host, by suffix and in total. Each level is smoothed towards the one above with SMOOTHING
   pseudo-rows.
 
-Only the trigram model is fitted on a sample: at most SAMPLE_ROWS rows per language, those
-with the smallest key hash.
+Only the trigram model is fitted on a sample: at most SAMPLE_ROWS different texts per language,
+those with the smallest key hash, each once.
 """
 
 from __future__ import annotations
@@ -64,8 +64,9 @@ def fit(labelled: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> GramMode
     """A trigram model from ``labelled`` (text, lang). Languages without rows get a flat model."""
     keyed = labelled.filter(F.col("lang").isin(*languages)).select("lang", text_of().alias("text")).withColumn("_key", F.xxhash64("lang", "text"))
     order = Window.partitionBy("lang").orderBy("_key")
-    sample = keyed.select("lang", "_key").withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= SAMPLE_ROWS)
-    picked = keyed.join(F.broadcast(sample.select("lang", "_key").distinct()), ["lang", "_key"], "left_semi")  # SAMPLE_ROWS per language at most
+    sample = keyed.select("lang", "_key").distinct().withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= SAMPLE_ROWS)
+    picked = keyed.join(F.broadcast(sample.select("lang", "_key")), ["lang", "_key"], "left_semi")  # SAMPLE_ROWS keys per language at most
+    picked = picked.groupBy("lang", "_key").agg(F.min("text").alias("text"))  # a task hands on one copy of each text
 
     def count(batches):
         total = {lang: np.zeros(BUCKETS, np.int64) for lang in languages}

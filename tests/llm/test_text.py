@@ -25,6 +25,13 @@ def test_language_on_held_out_rows(spark):
     assert (found.lang_id == found.lang).mean() > 0.95 and found.kept.mean() > 0.95
 
 
+def test_copies_do_not_count_in_the_language_sample(make, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_ROWS", 4)
+    rows = [(k, f"{w} river {w}", "en") for k, w in enumerate("stone window garden bread light water".split())]
+    once, often = langid.fit(make(rows)), langid.fit(make(rows + [(100 + k, rows[k % 6][1], "en") for k in range(90)]))
+    assert np.array_equal(once.logs, often.logs)
+
+
 def test_language_evidence(make):
     rng = random.Random(5)
     words = {"en": "the of and with that from this have".split(), "fr": "les des une dans pour avec sur être".split()}
