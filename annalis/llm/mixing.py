@@ -127,13 +127,14 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """``docs`` as the mix takes them, with the same columns.
 
     A document comes once for every pass that takes words of it. A part of a document keeps
-    its words up to the last one taken, joined by spaces; n_chars then tells its length.
+    A document comes once for every pass that takes words of it, in the order of the first slot
+    that does. A part to the last one taken, joined by spaces; n_chars then tells its length.
     """
     _, _, pieces = mix_sources(docs)
-    passes = pieces.groupBy("row", "_key", "pass").agg(F.max(F.col("start") + F.col("length")).alias("_upto"))
-    passes = staged(passes.select("_key", "row", "_upto"), "passes")
+    passes = pieces.groupBy("row", "_key", "pass").agg(F.max(F.col("start") + F.col("length")).alias("_upto"), F.min("slot").alias("_slot"))
+    passes = staged(passes.select("_key", "row", "_upto", "_slot"), "passes")
     own = docs.withColumn("_key", row_key())
-    repeated = passes.groupBy("_key").agg(F.sort_array(F.collect_list("_upto"), False).alias("_uptos"), F.countDistinct("row").alias("_same"))
+    repeated = passes.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("_upto", "_slot")), False).alias("_uptos"), F.countDistinct("row").alias("_same"))
     joined = own.join(repeated, "_key")
     # rows that repeat share their passes: each takes its own slice of the list
     nth = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(1))) - 1
@@ -141,10 +142,10 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     one = joined.filter("_same = 1").withColumn("_nth", F.lit(0))
     both = one.unionByName(many)
     each = F.filter(F.transform("_uptos", lambda x, i: F.when(F.pmod(i, F.col("_same")) == F.col("_nth"), x)), lambda x: x.isNotNull())
-    out = both.withColumn("_upto", F.explode(each)).withColumn("_size", F.regexp_count(F.col("text"), F.lit(WORD)))
+    out = both.withColumn("_pass", F.explode(each)).withColumn("_upto", F.col("_pass._upto")).withColumn("_slot", F.col("_pass._slot")).withColumn("_size", F.regexp_count(F.col("text"), F.lit(WORD)))
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     cut = F.col("_upto") < F.col("_size")
     out = out.withColumn("text", F.when(cut, F.array_join(F.slice(words, 1, F.col("_upto").cast("int")), " ")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.repartitionByRange("_slot").sortWithinPartitions("_slot").select(*docs.columns)

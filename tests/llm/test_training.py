@@ -104,6 +104,16 @@ def test_mixing(make):
     assert sum(len(r.text.split()) for r in mixed.collect()) == pytest.approx(sum(taken.values()), abs=2 * mixing.BLOCK * len(want))
 
 
+def test_mixed_documents_are_in_the_order_of_their_slots(make):
+    rows = [(k, f"w{k} " * (20 + k % 90), "en", "abc"[k % 3]) for k in range(300)]
+    slots = {}
+    for r in mixing.mix_sources(make(rows))[2].groupBy("doc_id", "pass").agg({"slot": "min"}).collect():
+        slots.setdefault(r.doc_id, []).append(r[2])
+    slots = {k: sorted(v) for k, v in slots.items()}
+    order = [slots[r.doc_id].pop(0) for r in mixing.mixed_documents(make(rows)).collect()]
+    assert len(order) > 100 and order == sorted(order) and not any(slots.values())
+
+
 def test_slots_keep_the_shares_in_every_stretch(make):
     rows = [(k, "w " * 100, "en", "abc"[k % 3]) for k in range(900)]
     _, target, pieces = mixing.mix_sources(make(rows))
