@@ -1,4 +1,4 @@
-"""Queries of the ten operators over whole tables, and their SQL."""
+"""Queries of the operators over whole tables, and their SQL."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalis.llm import chat, exact_dedup, langid, mixing, ngram_join, packing, quality, secrets, substring, warc
+from annalis.llm import align, chat, exact_dedup, langid, mixing, ngram_join, packing, quality, secrets, substring, warc
 from annalis.session import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,8 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(documents(spark, sf_dir))
+
+
+@query()
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(documents(spark, sf_dir))
