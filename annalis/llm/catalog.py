@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalis.llm import align, chat, exact_dedup, langid, mixing, ngram_join, packing, quality, secrets, substring, warc
+from annalis.llm import align, chat, exact_dedup, langid, mixing, neighbours, ngram_join, packing, phrases, quality, secrets, substring, warc
 from annalis.session import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,34 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align(documents(spark, sf_dir))
+
+
+@query(r"""
+WITH lists AS (
+  SELECT coalesce(lang, 'und') AS lang, doc_id, p, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT lang, doc_id, unnest(pieces) AS piece, unnest(range(len(pieces))) AS p
+        FROM (SELECT lang, doc_id, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents))),
+words AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM lists WHERE len(w) > 0),
+grams AS (
+  SELECT lang, k AS size, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM words, (VALUES (1), (2), (3)) v(k) WHERE i + k - 1 <= len(w) GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM grams WHERE size = 1 GROUP BY lang),
+found AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM grams WHERE size > 1 AND f >= 10),
+cuts AS (SELECT lang, phrase, size, a, k, array_to_string(w[1:k], ' ') AS x, array_to_string(w[k + 1:], ' ') AS y FROM found, (VALUES (1), (2)) v(k) WHERE k < size),
+scored AS (
+  SELECT c.lang, c.phrase, c.size, c.a, c.k, g.f AS l, h.f AS r, CAST((1000000::HUGEINT * c.a * c.a) // (g.f::HUGEINT * h.f) AS BIGINT) AS score
+  FROM cuts c JOIN grams g ON g.lang = c.lang AND g.phrase = c.x JOIN grams h ON h.lang = c.lang AND h.phrase = c.y),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (SELECT lang, array_to_string(w[j:j + 1], ' ') AS phrase, max(a) AS f FROM found, (VALUES (1), (2)) v(j) WHERE size = 3 GROUP BY ALL),
+kept AS (SELECT s.* FROM lowest s LEFT JOIN longer q ON q.lang = s.lang AND q.phrase = s.phrase WHERE s.size = 3 OR q.f IS NULL OR 100 * q.f < 50 * s.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+""")
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
+@query()
+def op13_neighbour_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return neighbours.score(docs, neighbours.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
