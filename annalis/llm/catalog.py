@@ -141,10 +141,12 @@ WITH lists AS (
   SELECT coalesce(lang, 'und') AS lang, doc_id, p, regexp_extract_all(piece, '[^\x20\x09]+') AS w
   FROM (SELECT lang, doc_id, unnest(pieces) AS piece, unnest(range(len(pieces))) AS p
         FROM (SELECT lang, doc_id, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents))),
-words AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM lists WHERE len(w) > 0),
+words AS (SELECT lang, doc_id, p, unnest(w) AS x, unnest(range(len(w))) AS i FROM lists WHERE len(w) > 0),
+next_ AS (SELECT lang, x, lead(x, 1) OVER g AS y, lead(x, 2) OVER g AS z FROM words WINDOW g AS (PARTITION BY doc_id, p ORDER BY i)),
 grams AS (
-  SELECT lang, k AS size, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
-  FROM words, (VALUES (1), (2), (3)) v(k) WHERE i + k - 1 <= len(w) GROUP BY ALL),
+  SELECT lang, 1 AS size, x AS phrase, count(*) AS f FROM next_ GROUP BY ALL
+  UNION ALL SELECT lang, 2, x || ' ' || y, count(*) FROM next_ WHERE y IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 3, x || ' ' || y || ' ' || z, count(*) FROM next_ WHERE z IS NOT NULL GROUP BY ALL),
 totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM grams WHERE size = 1 GROUP BY lang),
 found AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM grams WHERE size > 1 AND f >= 10),
 cuts AS (SELECT lang, phrase, size, a, k, array_to_string(w[1:k], ' ') AS x, array_to_string(w[k + 1:], ' ') AS y FROM found, (VALUES (1), (2)) v(k) WHERE k < size),

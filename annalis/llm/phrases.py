@@ -31,11 +31,11 @@ TOP = 2000
 LONGEST = 3
 #: A candidate goes if a longer one that holds it has at least this percentage of its count.
 COVERED_PERCENT = 50
-BLOCK_BYTES = 1 << 23
+BLOCK_BYTES = 1 << 22
 #: Bits of the filters in front of the shuffles; 8 MB each at any size of the data.
 FILTER_BITS = 1 << 26
 #: Words of the corpus for each bucket of fingerprints.
-BUCKET_WORDS = 1 << 22
+BUCKET_WORDS = 1 << 21
 #: Parts of a language whose best rows are found apart from each other.
 SALTS = 256
 
