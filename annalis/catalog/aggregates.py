@@ -402,8 +402,7 @@ def pareto(spark, sf):
 @query("w9_average_rank", f"SELECT entity, year, ab, {_rank('ab', 'year')} AS ab_rank FROM cp WHERE ab IS NOT NULL")
 def average_rank(spark, sf):
     p = ad.customer_panel(spark, sf).where(F.col("ab").isNotNull()).select("entity", "year", "ab")
-    ranks = order.average_ranks(order.tally(p, ["year"], "ab"), ["year"], "ab", "ab_rank")
-    return p.join(ranks.drop("ab_rank_of"), ["year", "ab"])
+    return order.with_average_ranks(p, ["year"], {"ab": "ab_rank"}).drop("ab_rank_of")
 
 
 @query("w10_year_over_year_check", """SELECT year, round(m, 6) AS mean, CASE WHEN m < lag(m) OVER (ORDER BY year) THEN 'fell' WHEN m > lag(m) OVER (ORDER BY year) THEN 'rose' END AS direction

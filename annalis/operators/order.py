@@ -120,15 +120,49 @@ def column_quantiles(df: DataFrame, by: list[str], cols: list[str], probs: dict[
     return quantiles(stacked(df, by, cols), [*by, "column"], "value", probs)
 
 
-def average_ranks(counted: DataFrame, by: list[str], value: str, out: str, ranges: int | None = None) -> DataFrame:
-    """Rank of each distinct value; tied rows share their mean rank. Adds ``<out>_of``, the group size."""
-    ordered = running_totals(counted, by, value, ["n"], ranges=ranges)
-    return ordered.select(
-        *by,
-        value,
-        (F.col("before_n") + (F.col("n") + 1) / 2).alias(out),
-        F.col("all_n").alias(f"{out}_of"),
-    )
+def with_average_ranks(rows: DataFrame, by: list[str], values: dict[str, str], weight: str | None = None, ranges: int | None = None) -> DataFrame:
+    """Adds to every row the rank of each value within its group; ties share their mean rank.
+
+    ``values`` names the rank columns, ``<rank>_of`` is the size of the group. A row stands for
+    ``weight`` rows. Rows where a value is NULL or NaN go. No row is joined back on a value:
+    cut points split a value's range into open intervals and the cut points themselves, with
+    one small table of their counts. Values are compared as doubles. Within an interval a window ranks the rows; a value with a
+    large share of all rows is a cut point, whose rank follows from that table alone, so that
+    its rows can be dealt to any number of tasks.
+    """
+    n = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.where(reduce(lambda a, b: a & b, [known(v) for v in values]))
+    rows = staged(rows if weight else rows.withColumn("_rows", F.lit(1)), "unranked")
+    weight = weight or "_rows"
+    typed = rows.select(*[F.col(v).cast("double").alias(f"_v{k}") for k, v in enumerate(values)])
+    probs = [i / n for i in range(1, n)]
+    cuts = [sorted(set(c)) for c in typed.approxQuantile(typed.columns, probs, 0.25 / n)] if probs else [[] for _ in values]
+    marked = rows
+    for k, (value, points) in enumerate(zip(values, cuts, strict=True)):
+        cell, typed_value = f"_cell{k}", F.col(value).cast("double") + F.lit(0.0)  # negative zero is zero
+        if points:
+            splits = [float("-inf"), *points, float("inf")]
+            marked = Bucketizer(splits=splits, inputCol=f"_v{k}", outputCol=cell).transform(marked.withColumn(f"_v{k}", typed_value)).drop(f"_v{k}")
+            at_cut = typed_value == F.get(F.lit(splits), F.col(cell).cast("int"))
+            marked = marked.withColumn(cell, 2 * F.col(cell).cast("int") + F.when(at_cut, 0).otherwise(1))  # the cut point before the interval above it
+        else:
+            marked = marked.withColumn(cell, F.lit(1))
+    out = marked
+    for k, (value, name) in enumerate(values.items()):
+        cell = f"_cell{k}"
+        inside = marked.groupBy(*by, cell).agg(F.sum(weight).alias("_in"))
+        group = Window.partitionBy(*by)
+        before = F.coalesce(F.sum("_in").over(group.orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        inside = inside.select(*by, cell, "_in", before.alias("_before"), F.sum("_in").over(group).alias(f"{name}_of"))
+        is_cut = F.col(cell) % 2 == 0
+        out = out.withColumn("_deal", F.when(is_cut, F.pmod(F.hash(*rows.columns), F.lit(n))).otherwise(0))
+        place = Window.partitionBy(*by, cell, "_deal")
+        upto = F.sum(weight).over(place.orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        ties = F.sum(weight).over(Window.partitionBy(*by, cell, "_deal", value))
+        out = out.withColumn("_local", upto - (ties - 1) / 2).join(inside, [*by, cell])
+        rank = F.col("_before") + F.when(is_cut, (F.col("_in") + 1) / 2).otherwise(F.col("_local"))
+        out = out.withColumn(name, rank).drop("_local", "_deal", "_in", "_before", cell)
+    return out.drop("_rows")
 
 
 def spearman(
@@ -143,11 +177,7 @@ def spearman(
         .groupBy(*by, F.col(x).alias("_x"), F.col(y).alias("_y"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    sides = []
-    for side in ("_x", "_y"):
-        counted = pairs.groupBy(*by, side).agg(F.sum("n").alias("n"))
-        sides.append(average_ranks(counted, by, side, f"{side}_rank", ranges))
-    ranked = pairs.join(sides[0], [*by, "_x"]).join(sides[1].drop("_y_rank_of"), [*by, "_y"])
+    ranked = with_average_ranks(pairs, by, {"_x": "_x_rank", "_y": "_y_rank"}, "n", ranges)
     middle = (F.col("_x_rank_of") + 1) / 2
     dx, dy = F.col("_x_rank") - middle, F.col("_y_rank") - middle
     moments = ranked.groupBy(*by).agg(

@@ -56,8 +56,27 @@ def test_spearman_of_constant_or_few_rows_is_null(spark):
 
 def test_average_ranks_share_ties(spark):
     df = spark.createDataFrame([(v,) for v in (3.0, 1.0, 3.0, 2.0)], "v double").withColumn("g", F.lit(1))
-    got = {r["v"]: r["r"] for r in order.average_ranks(order.tally(df, ["g"], "v"), ["g"], "v", "r").collect()}
-    assert got == {1.0: 1.0, 2.0: 2.0, 3.0: 3.5}
+    got = sorted((r["v"], r["r"], r["r_of"]) for r in order.with_average_ranks(df, ["g"], {"v": "r"}).collect())
+    assert got == [(1.0, 1.0, 4), (2.0, 2.0, 4), (3.0, 3.5, 4), (3.0, 3.5, 4)]
+
+
+@pytest.mark.parametrize("ranges", [None, 1, 40])
+def test_average_ranks_of_two_values_at_once(values, ranges):
+    """A third of the rows shares a value, and most values of the small group are cut points of the large one."""
+    pdf, df = values
+    rows = order.with_average_ranks(df.select("i", "g", "x", "y"), ["g"], {"x": "rx", "y": "ry"}, ranges=ranges)
+    got = rows.toPandas().set_index("i").sort_index()
+    for v in "xy":
+        assert np.array_equal(got[f"r{v}"], pdf.groupby("g")[v].rank())
+        assert (got[f"r{v}_of"] == pdf.groupby("g")[v].transform("size")).all()
+    assert order.with_average_ranks(df.limit(0), ["g"], {"x": "rx"}, ranges=ranges).count() == 0
+
+
+def test_ranks_join_no_row_on_its_value(values):
+    _, df = values
+    plan = order.spearman(df, ["g"], "x", "y")._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    assert len(joins) == 2 and not any("_x#" in j or "_y#" in j for j in joins)
 
 
 def test_top_k_ties_go_by_entity(spark):
