@@ -22,7 +22,7 @@ def year_sources(spark, sf, names):
     folder = shared_folder(spark, "sources")
     p = ad.supplier_panel(spark, sf).select("entity", "year", "ab", "ap", "name", "town")
     rows = p.select("*", F.explode(F.array(*names)).alias("file_name")).where("file_name is not null")
-    rows.repartition("file_name").write.partitionBy("file_name").csv(folder, header=True)
+    rows.write.partitionBy("file_name").csv(folder, header=True)
     return discover.list_folders(discover.list_files(spark, folder, "*.csv"))
 
 
@@ -164,7 +164,7 @@ def mixed_types(spark, sf):
 @query("s11_detect_domain_column", """SELECT file, 2 AS pos, "column", CAST(hits AS BIGINT) AS hits FROM (SELECT file, CASE WHEN sy < 2015 THEN 'UF' ELSE 'SG_UF' END AS "column", count(DISTINCT CASE WHEN inside THEN 'RR' ELSE CAST(entity % 7 AS VARCHAR) END) AS hits FROM sheets WHERE sy <= 2016 GROUP BY 1, 2) WHERE hits >= 5""")
 def domain_column(spark, sf):
     rows, names = sheet_rows(spark, sf)
-    found = raw.detect_domain_column(raw.column_values(rows), names, fv.STATE_CODES)
+    found = raw.detect_domain_column(raw.position_facts(rows), names, fv.STATE_CODES)
     return found.select("file", "pos", "column", "hits")
 
 

@@ -108,3 +108,46 @@ def test_panel_build_recovers_the_source_panel(spark, tmp_path):
     assert len([r for r in checks if r["status"] == "ok"]) > 29
     # The made-up ids are short, so the id format check must speak up.
     assert ("format", "CO_ENTIDADE") in failed
+
+
+def facts_by_hand(rows, most):
+    out = {}
+    for file, sheet, _, cells in rows:
+        for pos, x in enumerate(cells or []):
+            v = None if x is None else x.strip(" ").upper()
+            f = out.setdefault((file, sheet, pos), [set(), 0, 0, 0])
+            f[0].add(v)
+            f[1] += v == "RR"
+            f[2] += v in ("14", "14.0", "+14", "014", "1.4E1")
+            f[3] += v is not None and "RORAIMA" in v
+    return {k: (v[0] if len(v[0]) <= most else most + 1, *v[1:]) for k, v in out.items()}
+
+
+def test_position_facts_against_plain_sets(spark):
+    """Two sheets over several partitions, a column of names, cells of all spellings, short and missing rows."""
+    some = ["RR", " rr ", "14", "14.0", "+14", "014", "1.4e1", "Nova Roraima", None, "", "x14", "14 15", "é", "nan"]
+    rows = [("f", "st"[k % 2], k, [some[k % 14], f"name {k}", some[(k * 5) % 3]] + ["z"] * (k % 3)) for k in range(300)] + [("f", "s", 300, None), ("f", "t", 301, [])]
+    df = spark.createDataFrame(rows, "file string, sheet string, row_no int, cells array<string>").repartition(7)
+    got = {(r["file"], r["sheet"], r["pos"]): r for r in raw.position_facts(df, 20).collect()}
+    want = facts_by_hand(rows, 20)
+    assert got.keys() == want.keys()
+    for key, (values, letters, numbers, named) in want.items():
+        r = got[key]
+        assert (r["letters"], r["numbers"], r["named"]) == (letters, numbers, named)
+        assert len(r["values"]) == values if isinstance(values, int) else set(r["values"]) == values
+    assert raw.position_facts(df.limit(0)).count() == 0
+
+
+def test_number_cells_are_those_of_spark(spark):
+    """The cells that facts count as the numeric code are those that the filter keeps."""
+    cells = ["14", "14.0", " 14 ", "+14", "14.", "1.4E1", "14x", "1 4", "", "0014", "-14", ".14e2", "14e0"]
+    df = spark.createDataFrame([("f", "s", 0, [c]) for c in cells], "file string, sheet string, row_no int, cells array<string>")
+    scope = spark.createDataFrame([("f", "s", "number", 0, "CO_UF")], "file string, sheet string, method string, pos int, column string")
+    assert raw.position_facts(df).first()["numbers"] == raw.filter_entity_scope(df, scope).count()
+
+
+def test_scope_detection_makes_no_row_per_cell(spark):
+    df = spark.createDataFrame([("f", "s", 0, ["RR"])], "file string, sheet string, row_no int, cells array<string>")
+    names = spark.createDataFrame([("f", "s", ["UF"])], "file string, sheet string, names array<string>")
+    for found in (raw.scope_per_sheet(df, names), raw.detect_domain_column(raw.position_facts(df), names, ["RR"])):
+        assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
