@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.ml.functions import vector_to_array
 
+from annalis import fixed_values as fv
 from annalis.catalog import adapters as ad
 from annalis.catalog.adapters import FOLDS, SPEC
 from annalis.catalog.aggregates import rounded
 from annalis.catalog.ranking import FIRST, K, METRIC_SQL, REPLICATES, baseline_rows, scores
 from annalis.catalog.registry import CTES, ORACLES, query
+from annalis.functions.scalar import ratio
 from annalis.operators import evaluate as ev
-from annalis.operators import models
+from annalis.operators import linear, models
 from annalis.session import staged
 
 LAST = max(FOLDS)
@@ -97,10 +99,53 @@ def classifiers(spark, sf):
     return ev.classification_metrics(rows, ["model"])
 
 
-@query("m5_walk_forward_models")
+ALL_YEARS, WITHOUT = "all years", "without 1997, 1998"
+RUNS = [linear.Run(f, name, years) for f in FOLDS for name, years in ((ALL_YEARS, ()), (WITHOUT, (1997, 1998)))]
+PAIR = ["ab_f", "tdi"]
+_PAIR_RUNS = ", ".join(f"({r.fold}, '{r.name}')" for r in RUNS)
+CTES["lin"] = f"""SELECT t.fold, t.run, m.model, p.entity, p.{TARGET} AS y,
+    round(my + (CASE m.model WHEN 'ridge' THEN ((nn + 1) * u1 - a12 * u2) / ((nn + 1) * (nn + 1) - a12 * a12) ELSE (nn * u1 - a12 * u2) / (nn * nn - a12 * a12) END) / s1 * (coalesce(p.ab_f, fa) - m1)
+    + (CASE m.model WHEN 'ridge' THEN ((nn + 1) * u2 - a12 * u1) / ((nn + 1) * (nn + 1) - a12 * a12) ELSE (nn * u2 - a12 * u1) / (nn * nn - a12 * a12) END) / s2 * (coalesce(p.tdi, ft) - m2), 6) AS pred
+    FROM (SELECT *, CAST(n0 AS DOUBLE) AS nn, n0 * c12 / (s1 * s2) AS a12, n0 * c1 / s1 AS u1, n0 * c2 / s2 AS u2 FROM (
+      SELECT fold, run, max(fa) AS fa, max(ft) AS ft, count(*) AS n0, avg(a) AS m1, stddev_pop(a) AS s1, avg(b) AS m2, stddev_pop(b) AS s2, avg(y) AS my, covar_pop(a, b) AS c12, covar_pop(a, y) AS c1, covar_pop(b, y) AS c2 FROM (
+        SELECT fold, run, fa, ft, coalesce(ab_f, fa) AS a, coalesce(tdi, ft) AS b, {TARGET} AS y FROM (
+          SELECT v.fold, v.run, ab_f, tdi, {TARGET}, quantile_cont(ab_f, 0.5) OVER g AS fa, quantile_cont(tdi, 0.5) OVER g AS ft FROM lp, (VALUES {_PAIR_RUNS}) v(fold, run)
+          WHERE {TARGET} IS NOT NULL AND year < v.fold AND NOT (v.run = '{WITHOUT}' AND year IN (1997, 1998)) WINDOW g AS (PARTITION BY v.fold, v.run))) GROUP BY 1, 2)) t
+    JOIN lp p ON p.year = t.fold AND p.{TARGET} IS NOT NULL, (VALUES ('ridge'), ('ols')) m(model)"""
+
+
+def linear_rows(spark, sf):
+    """Ridge and least squares on two features: test rows of all folds, with and without the unusual years in training."""
+    rows = linear.walk_forward(panel(spark, sf), TARGET, PAIR, [], RUNS, SPEC, min_train=fv.MIN_TRAIN_ROWS)
+    return staged(rows.withColumn("pred", F.round("pred", 6)), "linear")
+
+
+@query("m5_walk_forward_models", METRIC_SQL.replace("FROM bl)", f"FROM lin WHERE run = '{ALL_YEARS}')"))
 def walk_forward(spark, sf):
-    pred = models.walk_forward(panel(spark, sf), TARGET, NUMERIC, CATEGORIES, FOLDS[-2:], SPEC, make=lambda n, sd: {"ridge": models.ridge(n, sd)})
-    return ev.regression_metrics(staged(pred, "predictions"), ["fold", "model"])
+    rows = linear_rows(spark, sf).where(F.col("run") == ALL_YEARS)
+    return rounded(ev.regression_metrics(rows, ["fold", "model"]), "mae", "rmse", "r2", "spearman")
+
+
+@query("m9_ridge_all_features")
+def ridge_all_features(spark, sf):
+    """Predictions of all folds from all numbers and categories; checked against plain least squares in the tests."""
+    rows = linear.walk_forward(panel(spark, sf), TARGET, NUMERIC, CATEGORIES, [r for r in RUNS if r.name == ALL_YEARS], SPEC, min_train=fv.MIN_TRAIN_ROWS)
+    return rows.select("fold", "model", "entity", "y", F.round("pred", 6).alias("pred"))
+
+
+_R2 = "1 - avg((pred - y) * (pred - y)) FILTER (WHERE run = '{run}') / var_pop(y) FILTER (WHERE run = '{run}')"
+
+
+@query("m24_refit_without_years", f"""SELECT fold, model, round(r2_all, 6) AS r2_all_years, round(r2_less, 6) AS r2_without, round(r2_less - r2_all, 6) AS delta_r2 FROM (
+    SELECT fold, model, {_R2.format(run=ALL_YEARS)} AS r2_all, {_R2.format(run=WITHOUT)} AS r2_less FROM lin GROUP BY 1, 2) WHERE r2_all IS NOT NULL AND r2_less IS NOT NULL""")
+def refit_without_years(spark, sf):
+    """All linear models of all folds, refitted without the unusual years, against the same models with them."""
+    rows = linear_rows(spark, sf)
+    e = F.col("pred") - F.col("y")
+    r2 = rows.groupBy("fold", "model", "run").agg((1 - ratio(F.avg(e * e), F.var_pop("y"))).alias("r2"))
+    wide = r2.groupBy("fold", "model").agg(*[F.max(F.when(F.col("run") == run, F.col("r2"))).alias(name) for run, name in ((ALL_YEARS, "r2_all_years"), (WITHOUT, "r2_without"))])
+    both = wide.where("r2_all_years IS NOT NULL AND r2_without IS NOT NULL").withColumn("delta_r2", F.col("r2_without") - F.col("r2_all_years"))
+    return rounded(both, "r2_all_years", "r2_without", "delta_r2")
 
 
 @query("m21_permutation_importance")
@@ -157,3 +202,17 @@ def final_test(spark, sf):
     metrics = ev.regression_metrics(rows, ["fold", "model"])
     table = metrics.join(ev.bootstrap_ci(rows, ["fold", "model"], "entity", replicates=REPLICATES), ["fold", "model"], "left")
     return rounded(table, "mae", "rmse", "r2", "spearman", "mae_low", "mae_high", "r2_low", "r2_high")
+
+
+CTES["fin"] = f"""SELECT fold, model, entity, y, pred FROM bl WHERE fold = {LAST} UNION ALL SELECT fold, model, entity, y, pred FROM lin WHERE fold = {LAST} AND run = '{ALL_YEARS}'"""
+CTES["fin_metrics"] = METRIC_SQL.replace("FROM bl)", "FROM fin)")
+CTES["fin_ci"] = ORACLES["m17_bootstrap_ci"].replace("SELECT bl.*, r FROM bl,", "SELECT fin.*, r FROM fin,")
+
+
+@query("m28_final_table_with_models", "SELECT m.*, c.mae_low, c.mae_high, c.r2_low, c.r2_high FROM fin_metrics m JOIN fin_ci c USING (fold, model)")
+def final_table_with_models(spark, sf):
+    """Baselines and fitted models on the last year, with intervals."""
+    fitted_rows = linear_rows(spark, sf).where((F.col("fold") == LAST) & (F.col("run") == ALL_YEARS)).drop("run")
+    rows = staged(baseline_rows(spark, sf).where(F.col("fold") == LAST).select(fitted_rows.columns).unionByName(fitted_rows), "final-rows")
+    table = ev.regression_metrics(rows, ["fold", "model"]).join(ev.bootstrap_ci(rows, ["fold", "model"], "entity", replicates=REPLICATES), ["fold", "model"], "left")
+    return rounded(table, "mae", "rmse", "r2", "spearman", "mae_low", "mae_high", "r2_low", "r2_high")
