@@ -24,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from annalis.llm.common import U64, join_counted, row_key, text_of
+from annalis.llm.common import join_counted, row_key, text_of
 from annalis.session import staged
 
 LANGUAGES = ("en", "fr", "de", "es")
 UNKNOWN = "und"
 SAMPLE_ROWS = 1000
 BUCKETS = 1 << 15
+#: Trigrams that a task holds at once.
+SLICE_BYTES = 1 << 20
 SATURATE = 100.0
 SMOOTHING = 20.0
 #: A text is "und" if its trigrams have a lower mean log-probability than this in every language.
@@ -44,15 +46,22 @@ class GramModel:
     logs: np.ndarray  # BUCKETS x languages
 
 
-def _grams(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket of each byte trigram of a column of strings, with first and end position per row."""
+def _grams(column, limit: int = SLICE_BYTES):
+    """Buckets of the byte trigrams of a column of strings, at most ``limit`` at once, also within one long text.
+
+    Yields the first row and the row behind the last one of a slice, the slice's buckets, and where each of
+    these rows begins and ends in them. The trigrams of a row can be in several slices.
+    """
     column = column.cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].astype(np.uint32)
-    code = (data[:-2] << 16 | data[1:-1] << 8 | data[2:]) if len(data) > 2 else np.zeros(0, np.uint32)
-    bucket = (code.astype(U64) * U64(2654435761) & U64(0xFFFFFFFF)) >> U64(17)
-    starts = offsets[:-1] - offsets[0]
-    return bucket.astype(np.int64), starts, np.maximum(starts, offsets[1:] - offsets[0] - 2)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    ends = np.maximum(offsets[:-1], offsets[1:] - 2)
+    for lo in range(int(offsets[0]), int(offsets[-1]), limit):
+        hi = min(lo + limit, int(offsets[-1]))
+        first, last = np.searchsorted(offsets, lo, side="right") - 1, np.searchsorted(offsets, hi, side="left")
+        some = data[lo : min(hi + 2, int(offsets[-1]))].astype(np.uint32)
+        code = (some[:-2] << 16 | some[1:-1] << 8 | some[2:]) if len(some) > 2 else np.zeros(0, np.uint32)
+        yield first, last, (code * np.uint32(2654435761)) >> np.uint32(17), np.clip(offsets[first:last], lo, hi) - lo, np.clip(ends[first:last], lo, hi) - lo
 
 
 def letters(text: Column) -> Column:
@@ -71,9 +80,10 @@ def fit(labelled: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> GramMode
     def count(batches):
         total = {lang: np.zeros(BUCKETS, np.int64) for lang in languages}
         for batch in batches:
-            buckets, starts, ends = _grams(batch["text"])
-            for lang, a, b in zip(batch["lang"].to_pylist(), starts, ends, strict=True):
-                total[lang] += np.bincount(buckets[a:b], minlength=BUCKETS)
+            langs = batch["lang"].to_pylist()
+            for first, last, buckets, starts, ends in _grams(batch["text"]):
+                for lang, a, b in zip(langs[first:last], starts, ends, strict=True):
+                    total[lang] += np.bincount(buckets[a:b], minlength=BUCKETS)
         for lang, counts in total.items():
             at = np.flatnonzero(counts)
             yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(counts[at])], ["lang", "bucket", "n"])
@@ -95,14 +105,15 @@ def text_scores(rows: DataFrame, model: GramModel, id_cols: list[str], text: Col
 
     def score(batches):
         for batch in batches:
-            buckets, starts, ends = _grams(batch["_text"])
-            n = np.maximum(ends - starts, 0)
-            some = n > 0
+            n = np.zeros(batch.num_rows, np.int64)
             sums = np.zeros((len(n), logs.shape[1] + 1))
-            if some.any():
-                cuts = np.column_stack([starts[some], ends[some]]).ravel()
-                for k in range(logs.shape[1]):
-                    sums[some, k] = np.add.reduceat(np.append(logs[:, k][buckets].astype(np.float64), 0.0), cuts)[::2]
+            for first, last, buckets, starts, ends in _grams(batch["_text"]):
+                n[first:last] += ends - starts
+                some = np.flatnonzero(ends > starts)
+                if len(some):
+                    cuts = np.column_stack([starts[some], ends[some]]).ravel()
+                    for k in range(logs.shape[1]):
+                        sums[first + some, k] += np.add.reduceat(np.append(logs[:, k][buckets].astype(np.float64), 0.0), cuts)[::2]
             sums[:, -1] = n * FLAT_LOG
             scores = sums / (1 + n / SATURATE)[:, None]
             out = [batch.column(k) for k in range(batch.num_columns - 1)] + [pa.array(n), pa.array(list(scores), pa.list_(pa.float64()))]
