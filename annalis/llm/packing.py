@@ -27,21 +27,25 @@ OPEN = 64
 MERGED = 256
 END = 1
 #: Texts that are tokenized at once.
-AT_ONCE = 256
+AT_ONCE = 1024
 
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, part long, ids binary"
 _TOKENIZERS: dict[str, WordTokens] = {}
+MARKS = b".,!?;:*#$%&"
+_LETTER, _MARK, _IN_WORD = np.zeros(256, bool), np.zeros(256, bool), np.ones(256, bool)
+_LETTER[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = True
+_MARK[list(MARKS)] = True
+_IN_WORD[list(b" \t\n\v\f\r")] = False
 
 
 class WordTokens(dict):
-    """Token ids of white-space separated words as 16-bit bytes; keeps a bounded number of them.
+    """Token ids of the parts of texts as 16-bit bytes; keeps a bounded number of them.
 
     The tokenizer lower-cases, drops white space and never joins text across it, nor a letter
     with the marks of MARKS behind it, so that a text's ids are those of its parts in order.
     """
 
-    LIMIT = 1 << 19
-    MARKS = b".,!?;:*#$%&"
+    LIMIT = 1 << 20
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -60,31 +64,40 @@ class WordTokens(dict):
             (plain if simple else rest).append((part, word))
         if plain:  # one pre-token each, as it stands
             found = self.letters.encode([w for _, w in plain], is_pretokenized=True, add_special_tokens=False)
-            ids, cuts = np.array(found.ids, np.uint16), np.searchsorted(np.array(found.word_ids), np.arange(len(plain) + 1))
-            for k, (part, _) in enumerate(plain):
-                self[part] = ids[cuts[k] : cuts[k + 1]].tobytes()
+            ids, cuts = np.array(found.ids, np.uint16).tobytes(), 2 * np.searchsorted(np.array(found.word_ids), np.arange(len(plain) + 1))
+            self.update((part, ids[x:y]) for (part, _), x, y in zip(plain, cuts.tolist(), cuts[1:].tolist()))
         for (part, _), found in zip(rest, self.whole.encode_batch([w for _, w in rest], add_special_tokens=False), strict=True):
             self[part] = np.array(found.ids, np.uint16).tobytes()
 
-    def learn(self, words: set[bytes]) -> None:
-        cores = {w: w.rstrip(self.MARKS) for w in words}
-        split = {w: core for w, core in cores.items() if len(core) < len(w) and core[-1:].isalpha()}  # bytes: ASCII letters only
-        parts = (words - split.keys()) | set(split.values()) | {w[len(c) :] for w, c in split.items()}
-        self._encode([p for p in parts if p not in self])
-        for w, core in split.items():
-            self[w] = self[core] + self[w[len(core) :]]
-
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]  # special tokens are looked for before lower-casing
-        words = set().union(*split)
-        new = {w for w in words if w not in self}
+        """Token ids of each text, END behind them. Distinct words are looked up once and expanded by their numbers."""
+        if not texts:
+            return []
+        lower = [t if b"<|" in t else t.lower() for t in texts]  # special tokens are looked for before lower-casing
+        data = np.frombuffer(b"\n".join(lower), np.uint8)
+        word = np.append(_IN_WORD[data], False)
+        opens = word.copy()  # a part begins behind white space, and at a mark behind a letter
+        opens[1:-1] &= ~word[:-2] | (_LETTER[data[:-1]] & _MARK[data[1:]])
+        starts = np.flatnonzero(opens)
+        stops = np.flatnonzero(word[:-1] & (~word[1:] | opens[1:])) + 1
+        lengths = stops - starts
+        offsets = np.append(0, np.cumsum(lengths)).astype(np.int64)
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[word[:-1]])]).dictionary_encode()
+        names = words.dictionary.to_pylist()
+        new = {w for w in names if w not in self}
         if len(self) + len(new) > self.LIMIT:
             self.clear()
-            new = words
+            new = set(names)
         if new:
-            self.learn(new)
-        end = END.to_bytes(2, "little")
-        return [np.frombuffer(b"".join(map(self.__getitem__, w)) + end, np.uint16) for w in split]
+            self._encode(list(new))
+        known = [self[w] for w in names] + [END.to_bytes(2, "little")]
+        flat, sizes = np.frombuffer(b"".join(known), np.uint16), np.array([len(x) // 2 for x in known])
+        begins = np.cumsum(sizes) - sizes
+        behind = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in lower]))  # words up to the end of each text
+        sequence = np.insert(words.indices.to_numpy().astype(np.int64), behind, len(names))
+        reach = np.cumsum(sizes[sequence])
+        at = np.repeat(begins[sequence] - (reach - sizes[sequence]), sizes[sequence]) + np.arange(reach[-1])
+        return np.split(flat[at], reach[behind + np.arange(len(texts))][:-1])
 
 
 def _tokenizer(path: str) -> WordTokens:
