@@ -71,12 +71,14 @@ WITH rows_ AS (
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
 sized AS (
   SELECT *, length(role) + length(text) + (length(text) - length(replace(replace(replace(text, '\', ''), '#', ''), '<', '')))
-    + (length(role) - length(replace(replace(replace(replace(role, '\', ''), '#', ''), '<', ''), ':', ''))) + 14 AS n FROM rows_)
+    + (length(role) - length(replace(replace(replace(replace(role, '\', ''), '#', ''), '<', ''), ':', ''))) + 14 AS n,
+    row_number() OVER w - 1 AS pos, coalesce(lag(role) OVER w, '') AS prev FROM rows_ WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+judged AS (SELECT *, CASE WHEN pos = 0 THEN role IN ('system', 'user') WHEN prev IN ('system', 'assistant') THEN role = 'user' WHEN prev = 'user' THEN role = 'assistant' ELSE false END AS allowed FROM sized)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(n) AS BIGINT) AS formatted_chars
-FROM sized GROUP BY conv_id
+  CAST(sum(n) AS BIGINT) AS formatted_chars, min(pos) FILTER (WHERE NOT allowed) AS first_violation
+FROM judged GROUP BY conv_id
 """)
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
@@ -85,7 +87,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chat.format_chats(rows.unionByName(probe)).withColumn("_turns", chat.read_turns(F.col("formatted"))).withColumn("_loss", chat.learned_text(F.col("segments")))
     lines = F.array_join(F.transform("_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select("conv_id", F.size("_turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"), F.length("_loss").cast("long").alias("loss_chars"),
-                      F.sha2("_loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+                      F.sha2("_loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), F.col("first_violation").cast("long").alias("first_violation"))
 
 
 @query("""

@@ -52,7 +52,7 @@ def unescape(text: Column, template: Template) -> Column:
 def format_chats(rows: DataFrame, template: Template = Template()) -> DataFrame:
     """One row per conversation of ``rows`` (conv_id, turn, role, text): segments, formatted, first_violation.
 
-    ``segments`` are (text, loss, violates) in order, and ``formatted`` is their texts joined.
+    ``segments`` are (text, loss) in order, and ``formatted`` is their texts joined.
     ``first_violation`` is the 0-based turn that the machine does not allow, or null.
     A conversation becomes one training text, so that its turns meet in one row. Turns are
     ordered by turn, role and text, null turns first; repeated turns stay. Null texts and

@@ -121,11 +121,14 @@ def references(rows: DataFrame) -> dict[str, np.ndarray]:
 
 
 def _distances(refs: dict[str, np.ndarray]):
+    # without a word in the table all shares count as equal; no distance is judged then
+    others = refs.get("*", np.concatenate([np.full(k, 1 / k) for k in (len(CLASSES), len(WORDS) + 1)]))
+
     def run(batches):
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            expected = np.array([refs.get(lang, refs["*"]) for lang in batch["lang"].to_pylist()])
+            expected = np.array([refs.get(lang, others) for lang in batch["lang"].to_pylist()])
             chars, common = _shares(batch["chars"]), _shares(batch["common"])
             enough = [np.array(batch["chars"].flatten().to_numpy()).reshape(batch.num_rows, -1).sum(axis=1) >= MIN_CHARS, batch["n_words"].to_numpy() >= MIN_WORDS]
             found = [np.round(distance(chars, expected[:, : len(CLASSES)]), 6), np.round(distance(common, expected[:, len(CLASSES) :]), 6)]

@@ -144,3 +144,10 @@ def test_labels_agree(spark):
     found = quality.judge(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).toPandas().merge(pd.read_parquet("/root/testdata/sf0.01/labels.parquet"), on="doc_id")
     good, bad = found[(found.quality == 1) & ~found.base_failed], found[found.quality == 0]
     assert good.kept.mean() > 0.99 and bad.kept.mean() < 0.2
+
+
+def test_quality_of_a_table_without_words(make):
+    from annalis.llm import quality
+
+    rows = quality.judge(make([(1, None), (2, ""), (3, " \n "), (None, None)])).collect()
+    assert len(rows) == 4 and not any(r.kept for r in rows) and all(r.base_failed and r.n_words == 0 for r in rows)
