@@ -9,7 +9,6 @@ from annalis.catalog import adapters as ad
 from annalis.catalog.registry import query
 from annalis.catalog.sheets import HEADER_ROW, MEASURE_RATE, STAGE_RATE, raw_sheets
 from annalis.functions.scalar import canonical_category, normalise_id
-from annalis.operators import sets
 from annalis.session import shared_folder, staged
 from annalis.sources import delimited, discover, layouts, raw, stages
 from annalis.streaming import refresh
@@ -94,8 +93,7 @@ def scan(spark, sf):
 def census(spark, sf):
     folder = census_folder(spark, sf)
     df = delimited.scan_delimited(spark, folder, delimited.sniff_delimiter(spark, folder))
-    years = [delimited.census_year(df.where(F.col("NU_ANO") == str(y)), y) for y in ad.YEARS]
-    return sets.union_years(years).select("ANO", "CO_ENTIDADE", "IIB_agua_potavel", "IEP_internet", "IDP_biblioteca", "IDA_despensa")
+    return delimited.census_rows(df, F.col("NU_ANO")).select("ANO", "CO_ENTIDADE", "IIB_agua_potavel", "IEP_internet", "IDP_biblioteca", "IDA_despensa")
 
 
 @query("s14_detect_scope_column", """SELECT 'SG_UF' AS scope_column, 'letters' AS mode, 'CO_ENTIDADE' AS id_column, count(*) FILTER (WHERE entity % 2 = 0) AS in_scope FROM sp""")
@@ -235,22 +233,18 @@ def write_csv(spark, sf):
 
 @query("s21_position_rename", """SELECT CAST(year + 21 AS INT) AS "ANO", entity, ap AS "AP_FUN", ab AS "AB_FUN", ab_f AS "AB_FUN_AF", ab_o AS "AB_MED" FROM sp""")
 def position_rename(spark, sf):
-    """All years, 21 years later: the old names up to 2020, the new ones from 2021 on."""
+    """All years, 21 years later: the old names up to 2020, the new ones from 2021 on; a column of the other generation is NULL."""
     p = ad.staged_supplier(spark, sf)
-    new, old = fv.SEGMENTS_NEW, fv.SEGMENTS_OLD
+    year = F.col("year") + 21
     source = {"FUN": "", "FUN_AF": "_f", "MED": "_o"}
-    parts = []
-    for panel_year in ad.YEARS:
-        year = panel_year + 21
-        is_old = year < fv.FIRST_YEAR_OF_NEW_SEGMENTS
-        cells = []
-        for new_prefix, old_prefix, short in fv.SEGMENT_PREFIXES:
-            for n, o in zip(new, old):
-                name = old_prefix + o if is_old else new_prefix + n
-                cells.append((F.col(short.lower() + source[n]).cast("string") if n in source else F.lit("--")).alias(name))
-        wide = p.where(F.col("year") == panel_year).select("entity", *cells)
-        parts.append(delimited.position_rename(wide, year, [F.col("entity")]))
-    return sets.union_years(parts).select("ANO", "entity", "AP_FUN", "AB_FUN", "AB_FUN_AF", "AB_MED")
+    is_old = year < fv.FIRST_YEAR_OF_NEW_SEGMENTS
+    cells = []
+    for new_prefix, old_prefix, short in fv.SEGMENT_PREFIXES:
+        for n, o in zip(fv.SEGMENTS_NEW, fv.SEGMENTS_OLD):
+            value = F.col(short.lower() + source[n]).cast("string") if n in source else F.lit("--")
+            cells += [F.when(~is_old, value).alias(new_prefix + n), F.when(is_old, value).alias(old_prefix + o)]
+    out = delimited.position_rename_all(p.select("entity", year.alias("year"), *cells), F.col("year"), [F.col("entity")])
+    return out.select("ANO", "entity", "AP_FUN", "AB_FUN", "AB_FUN_AF", "AB_MED")
 
 
 @query("s22_ingest_stats", """SELECT file, 63 AS columns, count(*) AS rows, count(*) FILTER (WHERE inside) AS in_scope, CASE WHEN any_value(sy) <= 2016 THEN 'letters' WHEN any_value(sy) = 2019 THEN 'number' ELSE 'name' END AS method,

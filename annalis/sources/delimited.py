@@ -53,12 +53,20 @@ def feature_columns(available: list[str], features: dict[str, list[str]] = fv.CE
 
 def census_year(df: DataFrame, year: int, features: dict[str, list[str]] = fv.CENSUS_FEATURES) -> DataFrame:
     """Feature rows of one census year: scope filter and candidate columns in one scan."""
+    return census_rows(df, F.lit(year), features)
+
+
+def census_rows(df: DataFrame, year: Column, features: dict[str, list[str]] = fv.CENSUS_FEATURES) -> DataFrame:
+    """Feature rows of all years that share the columns of ``df``, in one scan; ``year`` is the year of a row.
+
+    A candidate that a year's file lacks is NULL in its rows, so that the next one counts.
+    """
     scope, mode = detect_scope_column(df.columns)
     key = detect_id_by_name(df.columns)
     if scope is None or key is None:
-        raise ValueError(f"{year}: no state or id column among {df.columns[:5]}")
+        raise ValueError(f"no state or id column among {df.columns[:5]}")
     rows = df.where(in_scope(scope, mode))
-    return rows.select(F.lit(year).alias("ANO"), F.trim(F.col(f"`{key}`")).alias("CO_ENTIDADE"), *feature_columns(df.columns, features))
+    return rows.select(year.cast("int").alias("ANO"), F.trim(F.col(f"`{key}`")).alias("CO_ENTIDADE"), *feature_columns(df.columns, features))
 
 
 def assemble_year(main: DataFrame, sides: list[DataFrame], key: str) -> DataFrame:
@@ -82,3 +90,21 @@ def position_rename(
         for n, v in zip(new, old)
     ]
     return df.select(F.lit(year).alias("ANO"), *keep, *cells)
+
+
+def position_rename_all(
+    df: DataFrame, year: Column, keep: list[Column], new: list[str] = fv.SEGMENTS_NEW, old: list[str] = fv.SEGMENTS_OLD,
+    prefixes: list[tuple[str, str, str]] = fv.SEGMENT_PREFIXES, first_new_year: int = fv.FIRST_YEAR_OF_NEW_SEGMENTS,
+) -> DataFrame:
+    """Rate columns of all years under common names, in one scan of a table that holds both generations of names.
+
+    A generation whose column is not there gives NULL.
+    """
+    there = set(df.columns)
+    cell = lambda name: F.col(f"`{name}`") if name in there else F.lit(None).cast("string")
+    cells = [
+        to_number_lenient(F.when(year >= first_new_year, cell(pn + n)).otherwise(cell(pv + v))).alias(f"{short}_{n}")
+        for pn, pv, short in prefixes
+        for n, v in zip(new, old)
+    ]
+    return df.select(year.cast("int").alias("ANO"), *keep, *cells)

@@ -151,3 +151,16 @@ def test_scope_detection_makes_no_row_per_cell(spark):
     names = spark.createDataFrame([("f", "s", ["UF"])], "file string, sheet string, names array<string>")
     for found in (raw.scope_per_sheet(df, names), raw.detect_domain_column(raw.position_facts(df), names, ["RR"])):
         assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_years_of_both_generations_in_one_scan(spark):
+    """The same rows as year by year, from one scan."""
+    names = [(pn + n, pv + v) for pn, pv, _ in delimited.fv.SEGMENT_PREFIXES for n, v in zip(delimited.fv.SEGMENTS_NEW, delimited.fv.SEGMENTS_OLD)]
+    rows = [(2019, 1), (2020, 2), (2021, 3), (2022, 4)]
+    df = spark.createDataFrame(rows, "year int, e int").select(
+        "year", "e", *[F.when(F.col("year") >= 2021, F.col("e") * 100 + k).cast("string").alias(n) for k, (n, _) in enumerate(names)],
+        *[F.when(F.col("year") < 2021, F.col("e") * 100 + k).cast("string").alias(o) for k, (_, o) in enumerate(names)])
+    once = delimited.position_rename_all(df, F.col("year"), [F.col("e")])
+    by_year = sets.union_years([delimited.position_rename(df.where(F.col("year") == y), y, [F.col("e")]) for y, _ in rows])
+    assert sets.tables_equal(once, by_year.select(once.columns))
+    assert once._jdf.queryExecution().optimizedPlan().toString().count("Union") == 0
