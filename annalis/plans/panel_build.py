@@ -119,8 +119,9 @@ def build_panel(raw_cells: DataFrame, census_years: dict[int, DataFrame], root:
 def validate(spark: SparkSession, root: str, years: int, last_year: int, low_year: int = 2007) -> DataFrame:
     """The validation suite over the written stages, one row per check."""
     out = Stages(root)
-    sel, lon, base, published, rows = (
-        stages.read_stage(spark, p) for p in (out.selected, out.longitudinal, out.base, out.published, out.scope)
+    published = stages.read_published(spark, out.published).drop("_all")
+    sel, lon, base, rows = (
+        stages.read_stage(spark, p) for p in (out.selected, out.longitudinal, out.base, out.scope)
     )
     rates = layouts.rate_names()
     features = [c for c in base.columns if c.startswith(fv.CENSUS_FEATURE_PREFIXES)]
