@@ -17,11 +17,14 @@ Frequency classes come from counters of hashed tokens over the whole corpus: SKE
 fix their number, and a token counts as frequent if its counter stands out of the mean load
 by more than chance allows. Any classes give the same links; they only save work.
 
-Documents with equal sets are one node. Each index key links its nodes to the smallest and
-the largest of them, and nodes left over to a few random ones; links are verified on whole
-sets. Nodes that are then in one component need no further comparison. What is left is
-exact: all pairs of different components that share a key are verified, too, unless sizes
-and prefixes rule them out, so that no component is missed.
+Documents with equal sets are one node. A node is compared with the smallest and the largest
+node of its most and its least frequent key, and nodes left over with a few random ones;
+links are verified on whole sets. Nodes that are then in one component need no further
+comparison. What is left is exact: in keys of up to DIRECT nodes all pairs of different
+components are verified unless sizes and prefixes rule them out, so that a posting meets at
+most DIRECT others. In larger keys every node is compared with one hub, the smallest node of
+the component of the key's smallest node; two nodes that are not similar to it must share
+tokens outside of it, and these tokens are indexed by prefix once more.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annalis.llm.common import U64, WordHashes, join_counted, keep_rows, likely_in, mix, rolling, row_key, text_of, texts
@@ -41,6 +44,8 @@ PERCENT = 80
 SKETCH_BITS = 20
 #: Further rounds in which nodes outside the main component of their keys try random nodes of these keys.
 PIVOT_ROUNDS, PIVOTS = 1, 6
+#: In keys of up to so many nodes those of different components are compared directly, in larger ones by way of a hub.
+DIRECT = 32
 _CHUNK = 1 << 12
 
 
@@ -229,13 +234,59 @@ def _strays(postings: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame
     return label, label.filter("c <> c0")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, base: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
+def _with_sets(pairs: DataFrame, nodes: DataFrame, base: DataFrame) -> DataFrame:
+    """The pairs (a, b) with both whole sets and the number of tokens in both."""
     own = staged(nodes.select("node", F.col("key").alias("_key"), "digest").join(_nodes_of(pairs), "node", "left_semi"), "live-nodes")
     sets = staged(likely_in(base, own, "_key").join(own, "_key").mapInArrow(_set_rows, "node long, tokens array<long>"), "live-sets")
-    joined = _with_both(pairs, sets, ["tokens"]).withColumn("_both", F.size(F.array_intersect("tokens_a", "tokens_b")))
-    near = F.col("_both") * 100 >= (F.size("tokens_a") + F.size("tokens_b") - F.col("_both")) * PERCENT
-    return staged(joined.filter(near).select("a", "b").distinct(), "links")
+    return _with_both(pairs, sets, ["tokens"]).withColumn("_both", F.size(F.array_intersect("tokens_a", "tokens_b")))
+
+
+def _near() -> Column:
+    return F.col("_both") * 100 >= (F.size("tokens_a") + F.size("tokens_b") - F.col("_both")) * PERCENT
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, base: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough."""
+    return staged(_with_sets(pairs, nodes, base).filter(_near()).select("a", "b").distinct(), "links")
+
+
+def _hub_relations(postings: DataFrame, nodes: DataFrame, base: DataFrame) -> DataFrame:
+    """Every node of a large key against the hub of the key: sizes, common tokens, whether linked, and the tokens outside the hub."""
+    pairs = staged(postings.select(F.col("node").alias("a"), F.col("c0").alias("b")).distinct(), "hub-pairs")
+    both = _with_sets(pairs, nodes, base)
+    return staged(both.select(F.col("a").alias("node"), F.col("b").alias("h"), F.size("tokens_a").alias("n"), F.col("_both").alias("inside"), _near().alias("near"),
+                              F.array_except("tokens_a", "tokens_b").alias("outside")), "hub-relations")
+
+
+def _hub_candidates(relations: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that two nodes of one hub can form, without pairing all of them.
+
+    Two similar nodes a, b have at least ceil(t / (1 + t) * (n_a + n_b)) common tokens, of which
+    at most min(inside_a, inside_b) lie in the hub. The rest are common tokens outside of it: at
+    least t * n_a - inside_a of them, and the same for b. So either that rest is positive and
+    the two share a token among all but rest - 1 of their outside tokens, the ones that fewest
+    nodes of the hub have first; or the hub alone can hold enough, then sizes and common
+    tokens with the hub decide in the join.
+    """
+    own = relations.join(known, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+    own = own.withColumn("_need", F.ceil((F.col("n") + F.ceil(F.col("n") * PERCENT / 100)) * PERCENT / (100 + PERCENT)).cast("long") - F.col("inside"))
+    own = staged(own.filter(F.col("_need") <= F.size("outside")), "hub-nodes")
+    mixed = own.groupBy("h").agg(F.min("c").alias("_a"), F.max("c").alias("_b")).filter("_a <> _b").select("h")
+    own = own.join(mixed, "h", "left_semi")
+    tokens = staged(own.select("h", "node", "c", F.greatest("_need", F.lit(1)).alias("_need"), F.explode("outside").alias("t")), "outside-tokens")
+    shared = tokens.groupBy("h", "t").agg(F.count("*").alias("f"), F.min("c").alias("_a"), F.max("c").alias("_b")).filter("f > 1")
+    live = tokens.join(shared, ["h", "t"])
+    mine = Window.partitionBy("h", "node")
+    placed = live.withColumn("_r", F.row_number().over(mine.orderBy("f", "t"))).withColumn("_live", F.count("*").over(mine))
+    prefix = staged(placed.filter("_r <= _live - _need + 1 AND _a <> _b").select("h", "t", "node", "c"), "outside-prefixes")
+    left, right = (prefix.select("h", "t", F.col("node").alias(e), F.col("c").alias(f"c{e}")) for e in "ab")
+    outside = left.join(right, ["h", "t"]).filter("a < b AND ca <> cb").select("a", "b")
+    full = own.filter("_need <= 0")
+    left, right = (full.select("h", F.col("node").alias(e), F.col("c").alias(f"c{e}"), F.col("n").alias(f"n{e}"), F.col("inside").alias(f"i{e}")) for e in "ab")
+    enough = F.least("ia", "ib") * (100 + PERCENT) >= (F.col("na") + F.col("nb")) * PERCENT
+    size = (F.col("na") * 100 >= F.col("nb") * PERCENT) & (F.col("nb") * 100 >= F.col("na") * PERCENT)
+    inside = left.join(right, "h").filter("a < b AND ca <> cb").filter(enough & size).select("a", "b")
+    return outside.unionByName(inside)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -265,11 +316,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     counts = live.groupBy("node").agg(F.sum((F.col("k") % 2 == 0).cast("long")).alias("_live"))
     rare = F.size(F.filter("keys", lambda k: k % 2 == 0))
     facts = staged(nodes.select("node", "n", rare.alias("_rare")).join(counts, "node").select("node", "n", (F.col("n") - F.col("_rare") + F.col("_live")).alias("upper")), "live-facts")
-    postings = staged(live.filter("m > 2").join(facts, "node").select("k", "node", "n", "upper", "lo", "hi"), "postings")
+    postings = staged(live.filter("m > 2").join(facts, "node").select("k", "node", "n", "upper", "m", "lo", "hi"), "postings")
 
-    first = shared.select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    for end in ("lo", "hi"):
-        first = first.unionByName(postings.select(F.col("node").alias("a"), F.col(end).alias("b")))
+    ends = F.array("lo", "hi")
+    tried = postings.groupBy("node").agg(F.max_by(ends, "m").alias("_most"), F.min_by(ends, "m").alias("_least"))
+    tried = tried.select(F.col("node").alias("a"), F.explode(F.array_distinct(F.concat("_most", "_least"))).alias("b"))
+    first = shared.select(F.col("lo").alias("a"), F.col("hi").alias("b")).unionByName(tried)
     first = _possible(first, nodes, facts)
     links = _verified(first, nodes, base)
     known = components(links)
@@ -284,11 +336,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         links = staged(links.unionByName(_verified(drawn, nodes, base)), "links-so-far")
         known = components(links)
     label, stray = _strays(postings, known)
+    relations = _hub_relations(label.filter(F.col("m") > DIRECT), nodes, base)
+    hub_links = relations.filter("near AND node <> h").select(F.least("node", "h").alias("a"), F.greatest("node", "h").alias("b"))
+    links = staged(links.unionByName(hub_links).distinct(), "links-with-hubs")
+    known = components(links)
+    label, stray = _strays(postings.filter(F.col("m") <= DIRECT), known)
     one = stray.select("k", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("n").alias("_na"), F.col("upper").alias("_la"))
     rest = label.select("k", F.col("node").alias("b"), F.col("c").alias("cb"), "c0", F.col("n").alias("_nb"), F.col("upper").alias("_lb"))
     cross = one.join(rest, "k").filter("ca <> cb AND (cb = c0 OR a < b)").filter(_may_link((F.col("_na"), F.col("_la")), (F.col("_nb"), F.col("_lb")))).select("a", "b")
+    cross = cross.unionByName(_hub_candidates(relations, known))
     cross = staged(_possible(cross, nodes, facts).join(first, ["a", "b"], "left_anti"), "cross-pairs")
-    more = staged(links.unionByName(_verified(cross, nodes, base)), "all-links")
+    more = staged(links.unionByName(_verified(cross, nodes, base)).distinct(), "all-links")
     found = components(more)
 
     degree = more.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
