@@ -110,17 +110,29 @@ def row_mean(cols: list[Column]) -> Column:
 
 
 def reconstruct_denominator(
-    approval: str, failure: str, dropout: str, size: str, window: float = 0.35, tol: float = 0.051, near: int = 64
+    approval: str, failure: str, dropout: str, size: str, window: float = 0.35, tol: float = 0.051, near: int = 64, block: int = 4096
 ) -> Column:
     """Whole denominator, nearest to ``size``, that reproduces three one-decimal rates.
 
-    The candidates within ``near`` of the size are tried first. A hit there is the
-    nearest one overall, so the full range is only searched when there is none.
+    Candidates lie in intervals of growing distance from the size, so the first interval
+    with a hit holds the nearest one, and no array is longer than an interval.
+
+    A count is off its rate by at most half a unit. With s = 100 - approval - failure -
+    dropout, the third rate is missed by |s| up to 100 / n, so that no n beyond
+    100 / (|s| - tol) can match when |s| > tol. When |s| < tol, every n beyond
+    100 / (tol - |s|) matches (but for ties that make the third count -1, never twice in a
+    row), and the first interval has a hit. One-decimal rates thus search at most about
+    2,800 candidates whatever the size is.
     """
     ap, rp, ab, n0 = (F.col(c).cast("double") for c in (approval, failure, dropout, size))
-    lo = F.greatest(F.lit(1), (F.floor(n0 * (1 - window)) - 2).cast("int"))
-    hi = (F.ceil(n0 * (1 + window)) + 2).cast("int")
-    mid = F.rint(n0).cast("int")
+    first = F.greatest(F.lit(1), F.floor(n0 * (1 - window)) - 2)
+    rest = 100 - ab - rp
+    slack = F.abs(rest - ap) - tol
+
+    def ceiling(excess: Column) -> Column:
+        return F.when(excess > 1e-9, F.ceil(100 / excess) + 1)
+
+    last = F.least(F.ceil(n0 * (1 + window)) + 2, ceiling(slack), ceiling(-rest))
 
     def compatible(n: Column) -> Column:
         b, r = F.rint(ab * n / 100), F.rint(rp * n / 100)
@@ -132,14 +144,27 @@ def reconstruct_denominator(
             & (F.abs(100 * a / n - ap) <= tol)
         )
 
-    def search(first: Column, last: Column) -> Column:
-        span = F.when(first <= last, F.sequence(first, last))
-        hits = F.filter(span, compatible)
-        return F.array_min(F.transform(hits, lambda n: F.struct(F.abs(n - n0).alias("gap"), n.alias("n"))))["n"]
-
-    found = F.coalesce(search(F.greatest(lo, mid - near), F.least(hi, mid + near)), search(lo, hi))
+    def nearest_hit(inner: Column, outer: Column) -> Column:
+        """Among candidates whose distance from the size is in [inner, outer)."""
+
+        def hits(low: Column, high: Column) -> Column:
+            low, high = F.greatest(low, first), F.least(high, last)
+            return F.filter(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>")), compatible)
+
+        below = hits(F.floor(n0 - outer) + 1, F.floor(n0 - inner))
+        above = hits(F.ceil(n0 + inner), F.ceil(n0 + outer) - 1)
+        return F.array_min(F.transform(F.concat(below, above), lambda n: F.struct(F.abs(n - n0).alias("gap"), n.alias("n"))))["n"]
+
+    # distances up to the farthest candidate; a window above the last possible one starts beyond it
+    reach = F.greatest(n0 - first, last - n0)
+    blocks = F.when(reach >= near, F.sequence(F.lit(0).cast("bigint"), F.floor((reach - near) / block)))
+    wider = F.aggregate(
+        blocks,
+        F.lit(None).cast("bigint"),
+        lambda best, i: F.coalesce(best, nearest_hit(near + i * block, near + (i + 1) * block)),
+    )
     usable = ap.isNotNull() & rp.isNotNull() & ab.isNotNull() & (n0 > 0)
-    return F.when(usable, found).cast("int")
+    return F.when(usable, F.coalesce(nearest_hit(F.lit(0), F.lit(near)), F.when(first <= last, wider))).cast("int")
 
 
 def grade_enrolment(year: Column | str, last_year: int, single: str, parts: list[str]) -> Column:

@@ -90,6 +90,29 @@ def test_denominator_matches_definition(spark):
     assert got == [python_denominator(*r) for r in rows]
 
 
+def test_denominator_of_large_and_odd_sizes(spark):
+    """Sizes beyond the region where a rate decides, impossible sums, ties, fractional sizes and
+    rates of more decimals than the tolerance, with intervals far smaller than the range."""
+    rng = random.Random(11)
+    rows = [(50.0, 50.0, 0.0, 5001.0), (0.0, 50.0, 50.0, 6001.0), (0.0, 50.1, 50.0, 3000.0), (60.0, 30.0, 10.2, 4000.0), (70.0, 20.0, 9.949, 9000.0), (0.0, 33.3, 66.7, 10.5), (85.0, 10.0, 5.0, 30.5)]
+    for _ in range(150):
+        n = rng.choice([rng.randint(1, 40), rng.randint(500, 2500), rng.randint(3000, 9000)])
+        b = rng.randint(0, n)
+        r = rng.randint(0, n - b)
+        digits = rng.choice([1, 1, 3])
+        rates = [max(0.0, round(100 * k / n + rng.choice([0, 0, 0.1]), digits)) for k in (n - b - r, r, b)]
+        rows.append((*rates, round(max(0.5, n * rng.uniform(0.6, 1.5)), 1)))
+    df = spark.createDataFrame(rows, "ap double, rp double, ab double, n0 double")
+    got = [r[0] for r in df.select(sc.reconstruct_denominator("ap", "rp", "ab", "n0", near=3, block=50)).collect()]
+    assert got == [python_denominator(*r) for r in rows]
+
+
+def test_denominator_of_a_billion(spark):
+    rows = [(85.0, 10.0, 5.0, 10**9), (60.0, 30.0, 10.2, 10**9), (33.3, 33.3, 33.4, 10**9 + 7)]
+    df = spark.createDataFrame(rows, "ap double, rp double, ab double, n0 bigint")
+    assert [r[0] for r in df.select(sc.reconstruct_denominator("ap", "rp", "ab", "n0")).collect()] == [10**9, None, 10**9 + 7]
+
+
 def test_flag_public_keeps_null(spark):
     assert column(spark, ["Privada", "Federal", None], sc.flag_public("v")) == [0, 1, None]
 
