@@ -164,11 +164,10 @@ def leak_candidates(spark, sf):
     return profile.leak_candidates(p, LEAK_COLS, TARGETS)
 
 
-@query("a16_duplicate_rows", """SELECT (SELECT count(*) FROM lineitem) - (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag, l_linestatus FROM lineitem)) AS repeated_rows,
+@query("a16_duplicate_rows", """SELECT (SELECT count(*) FROM lineitem) - (SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem)) AS repeated_rows,
     (SELECT count(*) FROM lineitem) - (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)) AS repeated_keys""")
 def duplicate_rows(spark, sf):
-    p = ad.read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
-    return profile.duplicate_rows(p, ["l_orderkey", "l_linenumber"])
+    return profile.duplicate_rows(ad.read(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
 CRITICAL = ["ap", "rp", "ab", "ap_f", "rp_f", "ab_f", "ap_o", "rp_o", "ab_o", "tdi", "atu", "ab_LAG1"]

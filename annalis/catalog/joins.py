@@ -33,8 +33,8 @@ CTES["feat"] = """SELECT year, entity, CASE WHEN year > 1995 THEN CAST(region %
 
 @query("j3_enrich_left_1to1", "SELECT l.entity, l.year, l.ab, l.ab_f_T1, feat.IIB_a, feat.IDA_b, feat.IDP_c FROM lp l LEFT JOIN feat ON feat.entity = l.entity AND feat.year = l.year")
 def enrich(spark, sf):
-    base = ad.staged_longitudinal(spark, sf).select("year", "entity", "ab", "ab_f_T1")
-    return reconcile.enrich_left_1to1(base, staged(features(spark, sf), "features"), KEYS)
+    base = ad.longitudinal_panel(spark, sf).select("year", "entity", "ab", "ab_f_T1")
+    return reconcile.join_1to1(base, features(spark, sf), KEYS)
 
 
 def other_panel(spark, sf):

@@ -36,6 +36,34 @@ def enrich_left_1to1(df: DataFrame, features: DataFrame, keys: list[str], check:
     return df.join(features, keys, "left")
 
 
+def join_1to1(df: DataFrame, features: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on a key that is unique on both sides, proved inside the join itself.
+
+    Both sides are stacked and grouped by the key in one shuffle; a group holds at most one
+    row of a side, or the job stops with the key's name. No job runs before the result is
+    asked for. A key with a NULL part has no partner, but may not repeat either.
+    """
+    cols, extra = [c for c in df.columns if c not in keys], [c for c in features.columns if c not in keys]
+
+    def side(rows: DataFrame, names: list[str], label: str) -> DataFrame:
+        return rows.select(*keys, F.struct(F.lit(True).alias("_in"), *[F.col(c).alias(f"{label}{i}") for i, c in enumerate(names)]).alias(label))
+
+    both = side(df, cols, "_l").unionByName(side(features, extra, "_r"), allowMissingColumns=True)
+    met = both.groupBy(*keys).agg(
+        *[F.count(s).alias(f"{s}_n") for s in ("_l", "_r")], *[F.first(s, ignorenulls=True).alias(s) for s in ("_l", "_r")]
+    )
+    repeats = (F.col("_l_n") > 1) | (F.col("_r_n") > 1)
+    shown = F.concat_ws(", ", *[F.coalesce(F.col(k).cast("string"), F.lit("NULL")) for k in keys])
+    stop = F.raise_error(F.concat(F.lit(f"one-to-one join: key {', '.join(keys)} repeats, for example "), shown))
+    kept = met.where(F.when(repeats, stop.cast("boolean")).otherwise(F.col("_l_n") > 0))
+    complete = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    return kept.select(
+        *keys,
+        *[F.col(f"_l._l{i}").alias(c) for i, c in enumerate(cols)],
+        *[F.when(complete, F.col(f"_r._r{i}")).alias(c) for i, c in enumerate(extra)],
+    )
+
+
 def join_blocks(base: DataFrame, blocks: list[DataFrame], keys: list[str], check: bool = True) -> DataFrame:
     return reduce(lambda left, right: enrich_left_1to1(left, right, keys, check), blocks, base)
 

@@ -103,7 +103,7 @@ def census(years: dict[int, DataFrame], out: Stages) -> DataFrame:
 def enrich(longitudinal: DataFrame, features: DataFrame, out: Stages) -> DataFrame:
     """Stage 04: left join of the features, written and published."""
     key = F.trim(F.col("CO_ENTIDADE"))
-    joined = reconcile.enrich_left_1to1(longitudinal.withColumn("CO_ENTIDADE", key), features.withColumn("CO_ENTIDADE", key), SPEC.keys)
+    joined = reconcile.join_1to1(longitudinal.withColumn("CO_ENTIDADE", key), features.withColumn("CO_ENTIDADE", key), list(SPEC.keys))
     stages.write_stage(joined, out.base)
     return stages.publish(longitudinal.sparkSession, out.base, out.published)
 

@@ -66,3 +66,20 @@ def test_one_to_one_join_stops_on_repeated_key(spark):
     b = spark.createDataFrame([(1, 2), (1, 3)], "k int, b int")
     with pytest.raises(reconcile.RepeatedKeyError):
         reconcile.enrich_left_1to1(a, b, ["k"])
+
+
+@pytest.mark.parametrize("left,right", [([(1, 1), (1, 2)], [(1, 2)]), ([(1, 1)], [(1, 2), (1, 2)]), ([(1, 1)], [(2, 2), (2, 3)]), ([(None, 1), (None, 2)], [(1, 2)])])
+def test_join_1to1_stops_by_itself_on_a_repeated_key(spark, left, right):
+    a, b = spark.createDataFrame(left, "k int, a int"), spark.createDataFrame(right, "k int, b int")
+    with pytest.raises(Exception, match="one-to-one join: key k repeats"):
+        reconcile.join_1to1(a, b, ["k"]).collect()
+
+
+def test_join_1to1_is_a_left_join_in_one_shuffle(spark):
+    a = spark.createDataFrame([(1, "x", 1, None), (2, "x", 2, 2.0), (None, "y", 3, 3.0), (4, None, 4, 4.0)], "k int, j string, a int, b double")
+    b = spark.createDataFrame([("x", 1, 1.5), ("x", 2, None), ("y", None, 9.0), ("z", 7, 7.0)], "j string, k int, b_r double")
+    got = reconcile.join_1to1(a, b, ["k", "j"])
+    expected = a.join(b, ["k", "j"], "left")
+    assert got.columns == expected.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
+    assert sorted(map(str, reconcile.join_1to1(a.select("k", "j"), b.limit(0), ["k", "j"]).collect())) == sorted(map(str, a.select("k", "j").join(b.limit(0), ["k", "j"], "left").collect()))
