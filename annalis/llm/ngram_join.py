@@ -32,7 +32,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annalis.llm.common import U64, WordHashes, join_counted, keep_rows, likely_in, mix, rolling, row_key, text_of, texts
@@ -163,16 +163,20 @@ def _index_rows(classes: np.ndarray):
     return run
 
 
-def _set_rows(batches):
-    """Sets of the texts that stand for a node; the digest makes sure of it."""
-    hashes = WordHashes()
-    for batch in batches:
-        nodes, sets = [], []
-        for tokens, node, digest in zip(_sets(batch["text"], hashes), batch["node"].to_pylist(), batch["digest"].to_pylist(), strict=True):
-            if len(tokens) and _digest(tokens) == digest:
-                nodes.append(node)
-                sets.append(tokens.astype(np.int64))
-        yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "tokens"])
+def _set_rows(classes: np.ndarray):
+    """Sets of the texts that stand for a node, in the global order; the digest makes sure of it."""
+
+    def run(batches):
+        hashes = WordHashes()
+        for batch in batches:
+            nodes, sets = [], []
+            for tokens, node, digest in zip(_sets(batch["text"], hashes), batch["node"].to_pylist(), batch["digest"].to_pylist(), strict=True):
+                if len(tokens) and _digest(tokens) == digest:
+                    nodes.append(node)
+                    sets.append(tokens[np.argsort(classes[(tokens >> U64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")].astype(np.int64))
+            yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "tokens"])
+
+    return run
 
 
 def _nodes_of(pairs: DataFrame) -> DataFrame:
@@ -234,10 +238,10 @@ def _strays(postings: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame
     return label, label.filter("c <> c0")
 
 
-def _with_sets(pairs: DataFrame, nodes: DataFrame, base: DataFrame) -> DataFrame:
+def _with_sets(pairs: DataFrame, nodes: DataFrame, base: DataFrame, classes: np.ndarray) -> DataFrame:
     """The pairs (a, b) with both whole sets and the number of tokens in both."""
     own = staged(nodes.select("node", F.col("key").alias("_key"), "digest").join(_nodes_of(pairs), "node", "left_semi"), "live-nodes")
-    sets = staged(likely_in(base, own, "_key").join(own, "_key").mapInArrow(_set_rows, "node long, tokens array<long>"), "live-sets")
+    sets = staged(likely_in(base, own, "_key").join(own, "_key").mapInArrow(_set_rows(classes), "node long, tokens array<long>"), "live-sets")
     return _with_both(pairs, sets, ["tokens"]).withColumn("_both", F.size(F.array_intersect("tokens_a", "tokens_b")))
 
 
@@ -245,43 +249,44 @@ def _near() -> Column:
     return F.col("_both") * 100 >= (F.size("tokens_a") + F.size("tokens_b") - F.col("_both")) * PERCENT
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, base: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame, base: DataFrame, classes: np.ndarray) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
-    return staged(_with_sets(pairs, nodes, base).filter(_near()).select("a", "b").distinct(), "links")
+    return staged(_with_sets(pairs, nodes, base, classes).filter(_near()).select("a", "b").distinct(), "links")
 
 
-def _hub_relations(postings: DataFrame, nodes: DataFrame, base: DataFrame) -> DataFrame:
-    """Every node of a large key against the hub of the key: sizes, common tokens, whether linked, and the tokens outside the hub."""
+def _hub_relations(postings: DataFrame, nodes: DataFrame, base: DataFrame, classes: np.ndarray) -> DataFrame:
+    """Every node of a large key against the hub of the key: sizes, common tokens, whether linked, and the prefix of the tokens outside the hub.
+
+    Two similar nodes a, b have at least ceil(t / (1 + t) * (n_a + n_b)) common tokens, of which
+    at most min(inside_a, inside_b) lie in the hub. The rest are common tokens outside of it: at
+    least ``need`` = ceil(t / (1 + t) * (n_a + ceil(t * n_a))) - inside_a of them, and the same for
+    b. If the rest is positive, the two share a token among all but need - 1 of their outside
+    tokens, the first ones of the global order: n / 9 tokens or so, however many lie outside.
+    """
     pairs = staged(postings.select(F.col("node").alias("a"), F.col("c0").alias("b")).distinct(), "hub-pairs")
-    both = _with_sets(pairs, nodes, base)
-    return staged(both.select(F.col("a").alias("node"), F.col("b").alias("h"), F.size("tokens_a").alias("n"), F.col("_both").alias("inside"), _near().alias("near"),
-                              F.array_except("tokens_a", "tokens_b").alias("outside")), "hub-relations")
+    n, outside = F.size("tokens_a"), F.array_except("tokens_a", "tokens_b")
+    need = (F.ceil((n + F.ceil(n * PERCENT / 100)) * PERCENT / (100 + PERCENT)) - F.col("_both")).cast("int")
+    length = F.greatest(n - F.col("_both") - F.greatest(need, F.lit(1)) + 1, F.lit(0))
+    both = _with_sets(pairs, nodes, base, classes)
+    return staged(both.select(F.col("a").alias("node"), F.col("b").alias("h"), n.alias("n"), F.col("_both").alias("inside"), need.alias("need"), _near().alias("near"),
+                              F.slice(outside, F.lit(1), length).alias("outside")), "hub-relations")
 
 
 def _hub_candidates(relations: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that two nodes of one hub can form, without pairing all of them.
-
-    Two similar nodes a, b have at least ceil(t / (1 + t) * (n_a + n_b)) common tokens, of which
-    at most min(inside_a, inside_b) lie in the hub. The rest are common tokens outside of it: at
-    least t * n_a - inside_a of them, and the same for b. So either that rest is positive and
-    the two share a token among all but rest - 1 of their outside tokens, the ones that fewest
-    nodes of the hub have first; or the hub alone can hold enough, then sizes and common
-    tokens with the hub decide in the join.
+    """Pairs (a, b) of different components that two nodes of one hub can form, without pairing all of them:
+    they share a prefix token outside the hub, or else the hub alone can hold enough; then sizes and
+    common tokens with the hub decide in the join.
     """
     own = relations.join(known, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-    own = own.withColumn("_need", F.ceil((F.col("n") + F.ceil(F.col("n") * PERCENT / 100)) * PERCENT / (100 + PERCENT)).cast("long") - F.col("inside"))
-    own = staged(own.filter(F.col("_need") <= F.size("outside")), "hub-nodes")
     mixed = own.groupBy("h").agg(F.min("c").alias("_a"), F.max("c").alias("_b")).filter("_a <> _b").select("h")
-    own = own.join(mixed, "h", "left_semi")
-    tokens = staged(own.select("h", "node", "c", F.greatest("_need", F.lit(1)).alias("_need"), F.explode("outside").alias("t")), "outside-tokens")
-    shared = tokens.groupBy("h", "t").agg(F.count("*").alias("f"), F.min("c").alias("_a"), F.max("c").alias("_b")).filter("f > 1")
-    live = tokens.join(shared, ["h", "t"])
-    mine = Window.partitionBy("h", "node")
-    placed = live.withColumn("_r", F.row_number().over(mine.orderBy("f", "t"))).withColumn("_live", F.count("*").over(mine))
-    prefix = staged(placed.filter("_r <= _live - _need + 1 AND _a <> _b").select("h", "t", "node", "c"), "outside-prefixes")
+    own = staged(own.join(mixed, "h", "left_semi"), "hub-nodes")
+    tokens = own.select(F.explode("outside").alias("t"), "h", "node", "c")
+    shared = tokens.groupBy("h", "t").agg(F.min("c").alias("_a"), F.max("c").alias("_b")).filter("_a <> _b").select("h", "t")
+    shared = staged(shared, "outside-tokens")
+    prefix = staged(likely_in(tokens, shared, "t").join(shared, ["h", "t"], "left_semi"), "outside-prefixes")
     left, right = (prefix.select("h", "t", F.col("node").alias(e), F.col("c").alias(f"c{e}")) for e in "ab")
     outside = left.join(right, ["h", "t"]).filter("a < b AND ca <> cb").select("a", "b")
-    full = own.filter("_need <= 0")
+    full = own.filter("need <= 0")
     left, right = (full.select("h", F.col("node").alias(e), F.col("c").alias(f"c{e}"), F.col("n").alias(f"n{e}"), F.col("inside").alias(f"i{e}")) for e in "ab")
     enough = F.least("ia", "ib") * (100 + PERCENT) >= (F.col("na") + F.col("nb")) * PERCENT
     size = (F.col("na") * 100 >= F.col("nb") * PERCENT) & (F.col("nb") * 100 >= F.col("na") * PERCENT)
@@ -323,7 +328,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tried = tried.select(F.col("node").alias("a"), F.explode(F.array_distinct(F.concat("_most", "_least"))).alias("b"))
     first = shared.select(F.col("lo").alias("a"), F.col("hi").alias("b")).unionByName(tried)
     first = _possible(first, nodes, facts)
-    links = _verified(first, nodes, base)
+    links = _verified(first, nodes, base, classes)
     known = components(links)
     for turn in range(PIVOT_ROUNDS):  # members of large groups that neither end is similar to
         label, stray = _strays(postings, known)
@@ -333,10 +338,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         drawn = drawn.select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array(*[f"_p{i}" for i in range(PIVOTS)]))).alias("b"))
         drawn = staged(_possible(drawn, nodes, facts).join(first, ["a", "b"], "left_anti"), "drawn-pairs")
         first = first.unionByName(drawn)
-        links = staged(links.unionByName(_verified(drawn, nodes, base)), "links-so-far")
+        links = staged(links.unionByName(_verified(drawn, nodes, base, classes)), "links-so-far")
         known = components(links)
     label, stray = _strays(postings, known)
-    relations = _hub_relations(label.filter(F.col("m") > DIRECT), nodes, base)
+    relations = _hub_relations(label.filter(F.col("m") > DIRECT), nodes, base, classes)
     hub_links = relations.filter("near AND node <> h").select(F.least("node", "h").alias("a"), F.greatest("node", "h").alias("b"))
     links = staged(links.unionByName(hub_links).distinct(), "links-with-hubs")
     known = components(links)
@@ -346,7 +351,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     cross = one.join(rest, "k").filter("ca <> cb AND (cb = c0 OR a < b)").filter(_may_link((F.col("_na"), F.col("_la")), (F.col("_nb"), F.col("_lb")))).select("a", "b")
     cross = cross.unionByName(_hub_candidates(relations, known))
     cross = staged(_possible(cross, nodes, facts).join(first, ["a", "b"], "left_anti"), "cross-pairs")
-    more = staged(links.unionByName(_verified(cross, nodes, base)).distinct(), "all-links")
+    more = staged(links.unionByName(_verified(cross, nodes, base, classes)).distinct(), "all-links")
     found = components(more)
 
     degree = more.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
