@@ -111,39 +111,6 @@ def test_near_duplicates_with_frequent_tokens(make, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()) == components(rows)
 
 
-def around_hubs():
-    """Groups around a common text: close copies, texts with a part of it and own words, close copies of these, cut texts."""
-    rng = random.Random(5)
-    rows = []
-    for _ in range(3):
-        base = sentence(rng, 150, 10**6)
-        for k in range(24):
-            share = rng.choice((0.55, 0.7, 0.78, 0.85, 0.95, 1.0))
-            own = base[: int(150 * share)] + (sentence(rng, int(150 * (1 - share)), 10**6) if k % 3 else [])
-            rows.append(own)
-            if k % 4 == 0:
-                twin = list(own)
-                for _ in range(rng.randrange(1, 4)):
-                    twin[rng.randrange(len(twin))] = f"z{rng.randrange(10**6)}"
-                rows.append(twin)
-    return [(i, " ".join(w)) for i, w in enumerate(rows)]
-
-
-@pytest.mark.parametrize("frequent", [False, True])
-def test_large_keys_are_compared_by_way_of_a_hub(make, monkeypatch, frequent):
-    monkeypatch.setattr(ngram_join, "DIRECT", 1)
-    monkeypatch.setattr(ngram_join, "PIVOT_ROUNDS", 0)
-    if frequent:
-        monkeypatch.setattr(ngram_join, "frequency_classes", lambda counters: (counters > 1).astype(np.uint8))
-    sought = []
-    real = ngram_join._hub_candidates
-    monkeypatch.setattr(ngram_join, "_hub_candidates", lambda *a: sought.append(real(*a)) or sought[-1])
-    rows = around_hubs()
-    found = ngram_join.near_duplicates(make(rows))
-    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()) == components(rows)
-    assert sought[0].count() > 0
-
-
 def truncated():
     """Texts and copies of them without their last or first words, at similarities from just below 0.80 to 0.86."""
     rng = random.Random(11)
