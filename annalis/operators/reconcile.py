@@ -173,8 +173,12 @@ def assert_equal_columns(df: DataFrame, pairs: list[tuple[str, str]], tol: float
 
 
 def present_despite_missing_target(df: DataFrame, target: str, spec: PanelSpec) -> DataFrame:
-    """Rows without a target year whose entity does have a row in the next year; must be empty."""
-    nexts = df.select((F.col(spec.year) - 1).alias(spec.year), spec.entity)
+    """Rows without a target year whose entity does have a row in the next year; must be empty.
+
+    The keys of a whole panel compress to a small file, which Spark would broadcast; they are
+    merged instead, so that a task holds no more than its own range of keys.
+    """
+    nexts = df.select((F.col(spec.year) - 1).alias(spec.year), spec.entity).hint("merge")
     return df.where(F.col(target).isNull()).join(nexts, spec.keys, "left_semi")
 
 

@@ -1,9 +1,11 @@
 """Exact-year shifts against row shifts on a panel with gaps."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from annalis import PanelSpec
 from annalis.operators import profile, reconcile, shifts
+from annalis.session import staged
 
 SPEC = PanelSpec("e", "y")
 
@@ -55,6 +57,15 @@ def test_missing_targets_are_absent(gap):
     assert reconcile.present_despite_missing_target(p, "t", SPEC).count() == 0
 
 
+def test_missing_targets_are_not_looked_up_by_broadcast(gap):
+    """The keys of all rows are one side of the join, however small they look as a file."""
+    p = gap.withColumn("t", shifts.target_year(SPEC))
+    wrong = p.withColumn("t", F.when(F.expr("NOT (e = 1 AND y = 2000)"), F.col("t")))
+    wrong = reconcile.present_despite_missing_target(staged(wrong, "targets"), "t", SPEC)
+    assert "Broadcast" not in wrong._jdf.queryExecution().executedPlan().toString()
+    assert [(r["e"], r["y"]) for r in wrong.collect()] == [(1, 2000)]
+
+
 def test_churn_and_balance(gap):
     churn = {r["y"]: (r["entries"], r["exits"]) for r in profile.entity_churn(gap, SPEC).collect()}
     assert churn == {2000: (1, 0), 2001: (0, 1), 2002: (1, 1)}
