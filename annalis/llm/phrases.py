@@ -98,7 +98,9 @@ def distinct_grams(ids: np.ndarray, prints: np.ndarray, at: np.ndarray, n: int)
     return p[starts], pos[starts], np.diff(np.append(starts, len(pos)))
 
 
-_BLOCK = "block long, lang string, words array<string>, counts array<long>, ids array<int>"
+#: Word numbers and fingerprints are packed, and few blocks share a row group: Spark's reader holds a group at once.
+_BLOCK = "block long, lang string, words array<string>, counts array<long>, prints binary, ids binary"
+GROUP_ROWS = 4
 
 
 def _number(limit: int):
@@ -111,15 +113,16 @@ def _number(limit: int):
                     by_lang.setdefault(lang, []).append(text)
                 for lang in sorted(by_lang):
                     words, counts, ids = numbered(by_lang[lang])
-                    lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in (words.cast(pa.string()), pa.array(counts, pa.int64()), pa.array(ids, pa.int32()))]
-                    yield pa.record_batch([pa.array([block], pa.int64()), pa.array([lang]), *lists], ["block", "lang", "words", "counts", "ids"])
+                    lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in (words.cast(pa.string()), pa.array(counts, pa.int64()))]
+                    packed = [pa.array([v.tobytes()], pa.binary()) for v in (word_prints(words.to_pylist(), lang).astype("<u8"), ids.astype("<i4"))]
+                    yield pa.record_batch([pa.array([block], pa.int64()), pa.array([lang]), *lists, *packed], ["block", "lang", "words", "counts", "prints", "ids"])
                     block += 1
 
     return run
 
 
-def _of_row(batch, k: int) -> tuple[pa.Array, np.ndarray]:
-    return batch["words"][k].values, batch["ids"][k].values.to_numpy()
+def _packed(batch, k: int, name: str, kind: str) -> np.ndarray:
+    return np.frombuffer(batch[name][k].as_buffer(), kind)
 
 
 def _in(bitmap: np.ndarray, prints: np.ndarray) -> np.ndarray:
@@ -137,8 +140,7 @@ def _send(n: int, sent, buckets: int):
         bitmap = sent.value
         for batch in batches:
             for k in range(batch.num_rows):
-                words, ids = _of_row(batch, k)
-                prints = word_prints([w.encode() for w in words.to_pylist()], batch["lang"][k].as_py())
+                prints, ids = _packed(batch, k, "prints", "<u8"), _packed(batch, k, "ids", "<i4")
                 shorter, _ = gram_prints(ids, prints, n - 1) if n > 2 else (np.where(ids >= 0, prints[np.maximum(ids, 0)], U64(0)) if len(prints) else np.zeros(len(ids), U64), None)
                 known = _in(bitmap, shorter)
                 found, whole = gram_prints(ids, prints, n)
@@ -190,7 +192,7 @@ def _read(batches):
     """The phrases that a block's live pointers point at, with their counts in the block."""
     for batch in batches:
         for k in range(batch.num_rows):
-            words, ids = _of_row(batch, k)
+            words, ids = batch["words"][k].values, _packed(batch, k, "ids", "<i4")
             by_n: dict[int, list] = {}
             for x in batch["live"][k].as_py():
                 by_n.setdefault(x["n"], []).append((np.frombuffer(x["at"], "<u4"), np.frombuffer(x["counts"], "<u4")))
@@ -213,7 +215,7 @@ def frequent_phrases(docs: DataFrame, least: int = MIN_COUNT, block_bytes: int =
     """Phrases of 2 to LONGEST words with ``least`` occurrences or more (lang, phrase, words, count), and all words (lang, phrase, count)."""
     context = docs.sparkSession.sparkContext
     own = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), text_of().alias("text"))
-    blocks = staged(own.mapInArrow(_number(block_bytes), _BLOCK), "word-blocks")
+    blocks = staged(own.mapInArrow(_number(block_bytes), _BLOCK), "word-blocks", **{"parquet.block.row.count.limit": GROUP_ROWS})
     each = blocks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("lang", F.col("x.words").alias("phrase"), F.col("x.counts").alias("count"))
     words = staged(each.groupBy("lang", "phrase").agg(F.sum("count").alias("count")), "word-counts")
     total = words.agg(F.sum("count")).first()[0] or 0
@@ -221,7 +223,7 @@ def frequent_phrases(docs: DataFrame, least: int = MIN_COUNT, block_bytes: int =
     bits = words.filter(F.col("count") >= least).select(F.pmod(F.xxhash64("lang", "phrase"), F.lit(FILTER_BITS)).alias("bit"))
     live = None
     for n in range(2, LONGEST + 1):
-        sent = blocks.select("block", "lang", "words", "ids").mapInArrow(_send(n, context.broadcast(_bitmap(bits)), buckets), _SENT)
+        sent = blocks.select("block", "prints", "ids").mapInArrow(_send(n, context.broadcast(_bitmap(bits)), buckets), _SENT)
         found = staged(sent.groupBy("bucket").applyInArrow(_frequent(n, least), _LIVE), f"frequent-{n}")
         bits = found.select(F.explode("bits").alias("bit")).select(F.col("bit").cast("long"))
         found = found.filter("block IS NOT NULL").select("block", "n", "at", "counts")

@@ -39,12 +39,12 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write a table that several steps read, and read it back.
+def staged(df: DataFrame, label: str, **options: object) -> DataFrame:
+    """Write a table that several steps read, with ``options`` of the writer, and read it back.
 
     The lineage ends at files in the shared folder, so a lost executor only repeats
     reads, and no step computes the table a second time.
     """
     path = shared_folder(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.parquet(path)

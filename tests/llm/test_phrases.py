@@ -79,3 +79,19 @@ def test_repeats_long_texts_and_empty_tables(make):
     found = sorted(tuple(r) for r in phrases.collocations(make([(None, *r) for r in rows])).collect())
     assert found and found == plain(rows, 10, 2000)
     assert phrases.collocations(make([(1, "a b", "en")]).limit(0)).collect() == []
+
+
+def test_blocks_are_read_a_few_at_a_time(make, monkeypatch):
+    """Numbers of a block are one packed value, and a row group, which Spark reads at once, has few blocks."""
+    import pyarrow.parquet as pq
+
+    kept, plainly = {}, phrases.staged
+    monkeypatch.setattr(phrases, "staged", lambda df, label, **options: kept.setdefault(label, plainly(df, label, **options)))
+    rows = [("a b. c", "en")] * 90 + [("", "fr"), (None, "de")]
+    assert phrases.frequent_phrases(make([(k, *r) for k, r in enumerate(rows)]).coalesce(1), block_bytes=40)[0].count() == 1
+    blocks = kept["word-blocks"]
+    assert dict(blocks.dtypes)["ids"] == dict(blocks.dtypes)["prints"] == "binary"
+    groups = [pq.ParquetFile(f.removeprefix("file:").replace("///", "/")).metadata for f in blocks.inputFiles()]
+    assert sum(g.num_rows for g in groups) > 10 and max(g.row_group(k).num_rows for g in groups for k in range(g.num_row_groups)) <= 4
+    monkeypatch.undo()
+    assert phrases.collocations(make([(1, "", "en"), (2, None, None)])).collect() == []
