@@ -20,8 +20,11 @@ by more than chance allows. Any classes give the same links; they only save work
 Documents with equal sets are one node. Each index key links its nodes to the smallest and
 the largest of them, and nodes left over to a few random ones; links are verified on whole
 sets. Nodes that are then in one component need no further comparison. What is left is
-exact: all pairs of different components that share a key are verified, too, unless sizes
-and prefixes rule them out, so that no component is missed.
+exact: all pairs of different components that share a key are verified, too, unless sizes,
+prefixes and parity bitmaps rule them out, so that no component is missed. Keys of up to
+LARGE nodes are joined with themselves. The larger ones of a family have most nodes in
+common: their nodes meet once for each smallest node of a key, in tiles of bitmaps, where
+only the pairs that pass become rows.
 """
 
 from __future__ import annotations
@@ -41,6 +44,8 @@ PERCENT = 80
 SKETCH_BITS = 20
 #: Further rounds in which nodes outside the main component of their keys try random nodes of these keys.
 PIVOT_ROUNDS, PIVOTS = 1, 6
+#: Keys of more nodes are compared by tiles of at most about twice TILE nodes.
+LARGE, TILE = 32, 1 << 13
 _CHUNK = 1 << 12
 
 
@@ -219,6 +224,55 @@ def _possible(pairs: DataFrame, nodes: DataFrame, facts: DataFrame) -> DataFrame
     return staged(both.filter(near).select("a", "b"), "possible-pairs")
 
 
+def _near_in_tile(table: pa.Table) -> pa.Table:
+    """Pairs of a tile, a stray and a node of another component, that sizes, sharable tokens and bitmaps do not rule out.
+
+    The same conditions as in ``_may_link`` and ``_possible``; a tile of two cells has only pairs across them.
+    """
+    table = table.sort_by("n").combine_chunks()
+    node, c, n, upper, cell = (table[x].to_numpy() for x in ("node", "c", "n", "upper", "cell"))
+    stray, across = c != table["c0"].to_numpy(), table["i"][0] != table["j"][0]
+    bits = table["bits"].chunk(0)
+    starts, values = bits.offsets.to_numpy(), bits.values.to_numpy().view(U64)
+    needed = (n * PERCENT + 99) // 100
+    groups = {}
+    for width in np.unique(np.diff(starts)):
+        rows = np.flatnonzero(np.diff(starts) == width)
+        whole = values[starts[rows][:, None] + np.arange(width)]
+        groups[int(width)] = rows, whole, whole[:, : width // 2] ^ whole[:, width // 2 :]
+    out = [np.zeros((0, 2), np.int64)]
+    for width, (rows, whole, folded) in groups.items():
+        for k in np.flatnonzero(stray[rows]):
+            i = rows[k]
+            for other, own in ((width // 2, folded[k]), (width, whole[k]), (2 * width, whole[k])):
+                if other not in groups:
+                    continue
+                others = groups[other][0]
+                lo, hi = np.searchsorted(n[others], [(n[i] * PERCENT + 99) // 100, n[i] * 100 // PERCENT + 1])
+                some, size = others[lo:hi], n[i] + n[others[lo:hi]]
+                differing = np.bitwise_count(groups[other][2 if other > width else 1][lo:hi] ^ own).sum(axis=1, dtype=np.int64)
+                overlap = np.minimum(upper[i] - needed[i], upper[some] - needed[some]) + np.maximum(needed[i], needed[some])
+                ok = ((size - differing) * (100 + PERCENT) >= 2 * PERCENT * size) & (overlap * (100 + PERCENT) >= size * PERCENT)
+                ok &= (c[some] != c[i]) & (~stray[some] | (node[some] > node[i]))
+                if across:
+                    ok &= cell[some] != cell[i]
+                b = node[some[ok]]
+                out.append(np.stack([np.minimum(b, node[i]), np.maximum(b, node[i])], axis=1))
+    pairs = np.concatenate(out)
+    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
+def _near_in_large(label: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Distinct pairs (a < b), one a stray, among the nodes of keys with the same smallest node; their number is not bounded, a tile is."""
+    own = staged(label.select("lo", "node", "c", "c0", "n", "upper").distinct(), "large-keys")
+    parts = own.groupBy("lo").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
+    cells = own.join(parts, "lo").withColumn("cell", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    bits = nodes.select("node", "bits").join(own.select("node").distinct(), "node", "left_semi")
+    met = cells.join(bits, "node").withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = met.select("lo", F.least("cell", "_other").alias("i"), F.greatest("cell", "_other").alias("j"), "cell", "node", "c", "c0", "n", "upper", "bits")
+    return met.groupBy("lo", "i", "j").applyInArrow(_near_in_tile, "a long, b long").distinct()
+
+
 def _strays(postings: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Postings of the keys whose nodes are in several components, and those of them outside the component of ``lo``."""
     label = postings.join(known, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
@@ -265,7 +319,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     counts = live.groupBy("node").agg(F.sum((F.col("k") % 2 == 0).cast("long")).alias("_live"))
     rare = F.size(F.filter("keys", lambda k: k % 2 == 0))
     facts = staged(nodes.select("node", "n", rare.alias("_rare")).join(counts, "node").select("node", "n", (F.col("n") - F.col("_rare") + F.col("_live")).alias("upper")), "live-facts")
-    postings = staged(live.filter("m > 2").join(facts, "node").select("k", "node", "n", "upper", "lo", "hi"), "postings")
+    postings = staged(live.filter("m > 2").join(facts, "node").select("k", "node", "n", "upper", "lo", "hi", "m"), "postings")
 
     first = shared.select(F.col("lo").alias("a"), F.col("hi").alias("b"))
     for end in ("lo", "hi"):
@@ -284,10 +338,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         links = staged(links.unionByName(_verified(drawn, nodes, base)), "links-so-far")
         known = components(links)
     label, stray = _strays(postings, known)
-    one = stray.select("k", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("n").alias("_na"), F.col("upper").alias("_la"))
-    rest = label.select("k", F.col("node").alias("b"), F.col("c").alias("cb"), "c0", F.col("n").alias("_nb"), F.col("upper").alias("_lb"))
+    small = F.col("m") <= LARGE
+    one = stray.filter(small).select("k", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("n").alias("_na"), F.col("upper").alias("_la"))
+    rest = label.filter(small).select("k", F.col("node").alias("b"), F.col("c").alias("cb"), "c0", F.col("n").alias("_nb"), F.col("upper").alias("_lb"))
     cross = one.join(rest, "k").filter("ca <> cb AND (cb = c0 OR a < b)").filter(_may_link((F.col("_na"), F.col("_la")), (F.col("_nb"), F.col("_lb")))).select("a", "b")
-    cross = staged(_possible(cross, nodes, facts).join(first, ["a", "b"], "left_anti"), "cross-pairs")
+    cross = _possible(cross, nodes, facts).unionByName(_near_in_large(label.filter(~small), nodes)).distinct()
+    cross = staged(cross.join(first, ["a", "b"], "left_anti"), "cross-pairs")
     more = staged(links.unionByName(_verified(cross, nodes, base)), "all-links")
     found = components(more)
 
@@ -308,4 +364,4 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     best = found.filter("component IS NOT NULL").groupBy("component").agg(F.min_by("_key", F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("_key"))
     kept = best.select("_key").unionByName(found.filter("component IS NULL").select("_key").distinct())
     copies = found.groupBy("_key").agg(F.count("*").alias("_copies"))
-    return keep_rows(docs, staged(kept.join(copies, "_key"), "kept"))
+    return keep_rows(docs, staged(copies.join(kept.withColumn("_kept", F.lit(True)), "_key", "left").fillna(False, "_kept"), "keys"))
