@@ -52,26 +52,31 @@ def join_counted(left: DataFrame, right: DataFrame, on: str, rows: str, how: str
     return left.join(F.broadcast(few), on).unionByName(left.join(known, on, "left_anti").join(many, on, how))
 
 
-def likely_in(docs: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+def likely_in(docs: DataFrame, keys: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
     """``docs`` without most rows whose ``key`` is not in ``keys``; a filter in front of the exact join.
 
     At most FILTER_BUCKETS hash buckets are broadcast. With more keys than that it lets more
-    rows pass and the join behind it still gives the same rows.
+    rows pass and the join behind it still gives the same rows. ``left_anti`` gives the rows left out.
     """
     bucket = lambda c: F.pmod(F.xxhash64(F.lit(17), c), F.lit(FILTER_BUCKETS))
     buckets = keys.select(bucket(F.col(key)).cast("int").alias("_bucket")).distinct()
-    return docs.withColumn("_bucket", bucket(F.col(key)).cast("int")).join(F.broadcast(buckets), "_bucket", "left_semi").drop("_bucket")
+    return docs.withColumn("_bucket", bucket(F.col(key)).cast("int")).join(F.broadcast(buckets), "_bucket", how).drop("_bucket")
 
 
-def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose row key is in ``kept`` (columns _key, _copies), equal rows once.
+def keep_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose row key is kept, equal rows once; ``keys`` has _key, _copies, _kept for every key of ``docs``.
 
-    Only keys with more than one copy are shuffled a second time.
+    Only rows in a bucket with a key that goes or has copies are looked up by a join. At most
+    FILTER_BUCKETS buckets are broadcast; with more such keys than that more rows take the join.
     """
     cols = docs.columns
-    own = docs.withColumn("_key", row_key()).join(kept, "_key")
+    open_ = keys.filter("NOT _kept OR _copies > 1")
+    kept = keys.filter("_kept").select("_key", "_copies")
+    keyed = docs.withColumn("_key", row_key())
+    own = likely_in(keyed, open_, "_key").join(kept, "_key")
+    sure = likely_in(keyed, open_, "_key", "left_anti").select(*cols)
     one = own.filter("_copies = 1").select(*cols)
-    return one.unionByName(own.filter("_copies > 1").dropDuplicates(["_key"]).select(*cols))
+    return sure.unionByName(one).unionByName(own.filter("_copies > 1").dropDuplicates(["_key"]).select(*cols))
 
 
 def global_rank(df: DataFrame, order: list[Column], name: str, label: str) -> DataFrame:

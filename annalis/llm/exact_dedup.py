@@ -90,5 +90,4 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest", width: int = 64) -> Dat
 def drop_copies(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     """``docs`` with one row of each group of equal texts."""
     found = exact_dedup(docs, keep)
-    kept = staged(found.groupBy("_key").agg(F.max("kept").alias("kept"), F.count("*").alias("_copies")).filter("kept").drop("kept"), "kept")
-    return keep_rows(docs, kept)
+    return keep_rows(docs, staged(found.groupBy("_key").agg(F.max("kept").alias("_kept"), F.count("*").alias("_copies")), "keys"))

@@ -111,6 +111,77 @@ def test_near_duplicates_with_frequent_tokens(make, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()) == components(rows)
 
 
+def family(size=120):
+    """Variants of one text at similarities around 0.80, with a group of close ones, and other texts."""
+    rng = random.Random(3)
+    text, rows = sentence(rng, 150), []
+    for k in range(size):
+        words = list(text)
+        for _ in range(rng.randrange(0, 3) if k % 3 == 0 else rng.randrange(3, 12)):
+            words[rng.randrange(len(words))] = f"e{rng.randrange(10**6)}"
+        rows.append((k, " ".join(words[rng.randrange(8):])))
+    return rows + [(1000 + k, " ".join(sentence(rng, 100))) for k in range(40)]
+
+
+def test_large_groups_make_no_row_per_pair(make, monkeypatch):
+    """Strays of a key with many nodes are compared in tiles; only the pairs that pass become rows, and no component is lost."""
+    counts, plainly = {}, ngram_join.staged
+
+    def counted(df, label):
+        out = plainly(df, label)
+        counts.setdefault(label, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "staged", counted)
+    monkeypatch.setattr(ngram_join, "frequency_classes", lambda counters: (counters > 20).astype(np.uint8))
+    monkeypatch.setattr(ngram_join, "PIVOT_ROUNDS", 0)
+    rows = family()
+    found = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(make(rows)).collect())
+    assert found == components(rows) and 40 < len({c for _, _, c in found}) < 150
+    assert counts["large-keys"][0] > 100 and counts["pairs"][1] < 1500
+    monkeypatch.setattr(ngram_join, "LARGE", 2)
+    monkeypatch.setattr(ngram_join, "TILE", 16)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(make(rows)).collect()) == found
+
+
+def test_tiles_lose_no_similar_pair():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    base, sets = rng.integers(0, 1 << 63, 140, dtype=np.uint64), []
+    for k in range(150):
+        kept = base[: rng.integers(24, 140)] if k % 2 else base[rng.random(140) > rng.random() * 0.3]
+        sets.append(np.unique(np.append(kept, rng.integers(0, 1 << 63, rng.integers(0, 12), dtype=np.uint64))))
+    c, cell = rng.integers(0, 60, 150), rng.integers(0, 2, 150)
+    n = np.array([len(x) for x in sets])
+    for i, j in ((0, 0), (0, 1)):
+        some = [k for k in range(150) if cell[k] in (i, j)]
+        table = pa.table({"i": [i] * len(some), "j": [j] * len(some), "cell": cell[some], "node": np.array(some), "c": c[some], "c0": [7] * len(some), "n": n[some], "upper": n[some],
+                          "bits": pa.array([ngram_join.parity_bits(sets[k]).view(np.int64) for k in some], pa.list_(pa.int64()))})
+        found = [tuple(r.values()) for r in ngram_join._near_in_tile(table).to_pylist()]
+        may = [(a, b) for a in some for b in some if a < b and c[a] != c[b] and (c[a] != 7 or c[b] != 7) and (i == j or cell[a] != cell[b])]
+        near = {(a, b) for a, b in may if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
+        assert near <= set(found) <= set(may) and len(found) == len(set(found)) and len(near) > 20
+        assert len(found) < len(may) / 2
+
+
+def test_rows_that_surely_stay_are_not_joined(spark, make, monkeypatch):
+    """Only rows in a bucket with a key that goes or has copies are joined, and the rows are the same with a single bucket."""
+    from annalis.llm import common
+
+    rows = [(k, f"text {k}") for k in range(300)] + [(400, "text 7"), (9, "text 9"), (None, "text 11"), (None, None), (500, "")]
+    for buckets in (common.FILTER_BUCKETS, 1):
+        monkeypatch.setattr(common, "FILTER_BUCKETS", buckets)
+        got = sorted((r.doc_id is None, r.doc_id, r.text or "") for r in exact_dedup.drop_copies(make(rows)).collect())
+        assert got == sorted([(False, k, f"text {k}") for k in range(300)] + [(False, 500, "")])
+    monkeypatch.undo()
+    docs, seen = make(rows), []
+    plainly = common.likely_in
+    monkeypatch.setattr(common, "likely_in", lambda *x: seen.append(out := plainly(*x)) or out)
+    exact_dedup.drop_copies(docs).collect()
+    assert [df.count() for df in seen] == [5, 300]
+
+
 def truncated():
     """Texts and copies of them without their last or first words, at similarities from just below 0.80 to 0.86."""
     rng = random.Random(11)
