@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annalis.llm.common import join_counted, row_key, text_of
-from annalis.session import staged
+from annalis.session import small_batches, staged
 
 LANGUAGES = ("en", "fr", "de", "es")
 UNKNOWN = "und"
@@ -197,7 +197,9 @@ def identify_documents(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES)
     table gives an empty result; further columns are ignored.
     """
     model = fit(docs, languages)
-    return identify(staged(documents_evidence(docs, model), "language-scores"), languages)
+    with small_batches(docs.sparkSession):
+        scores = staged(documents_evidence(docs, model), "language-scores")
+    return identify(scores, languages)
 
 
 def keep_identified(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:

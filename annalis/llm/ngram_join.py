@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from annalis.llm.common import U64, WordHashes, join_counted, keep_rows, likely_in, mix, rolling, row_key, text_of, texts
 from annalis.llm.graph import components
-from annalis.session import staged
+from annalis.session import small_batches, staged
 
 WORDS = 5
 PERCENT = 80
@@ -47,6 +47,8 @@ PIVOT_ROUNDS, PIVOTS = 1, 6
 #: Keys of more nodes are compared by tiles of at most about twice TILE nodes.
 LARGE, TILE = 32, 1 << 13
 _CHUNK = 1 << 12
+#: Tokens that a task holds before it counts them.
+_COUNTED = 1 << 18
 
 
 def shingle_set(hashes: np.ndarray) -> np.ndarray:
@@ -66,20 +68,20 @@ def _digest(tokens: np.ndarray) -> bytes:
 def _survey(batches):
     """Rows of documents (sizes and digests), and the counters of this task in chunks."""
     hashes, counters = WordHashes(), np.zeros(1 << SKETCH_BITS, np.int64)
-    names = ["doc_id", "key", "n", "digest", "chunk", "counters"]
+    names, found, n = ["doc_id", "key", "n", "digest", "chunk", "counters"], [np.zeros(0, U64)], 0
     for batch in batches:
-        sizes, digests, found, n = [], [], [np.zeros(0, U64)], 0
+        sizes, digests = [], []
         for tokens in _sets(batch["text"], hashes):
             sizes.append(len(tokens))
             digests.append(_digest(tokens) if len(tokens) else None)
             found.append(tokens)
             n += len(tokens)
-            if n > 1 << 21:
+            if n > _COUNTED:
                 counters += np.bincount((np.concatenate(found) >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counters))
                 found, n = [np.zeros(0, U64)], 0
-        counters += np.bincount((np.concatenate(found) >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counters))
         none = pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())
         yield pa.record_batch([batch["doc_id"], batch["_key"], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), *none], names)
+    counters += np.bincount((np.concatenate(found) >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counters))
     counters = counters.astype(np.uint32)
     chunks = [(k, counters[k * _CHUNK : (k + 1) * _CHUNK]) for k in range(len(counters) // _CHUNK)]
     chunks = [(k, c.tobytes()) for k, c in chunks if c.any()]
@@ -286,7 +288,8 @@ def _strays(postings: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame
 def _verified(pairs: DataFrame, nodes: DataFrame, base: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
     own = staged(nodes.select("node", F.col("key").alias("_key"), "digest").join(_nodes_of(pairs), "node", "left_semi"), "live-nodes")
-    sets = staged(likely_in(base, own, "_key").join(own, "_key").mapInArrow(_set_rows, "node long, tokens array<long>"), "live-sets")
+    with small_batches(base.sparkSession):
+        sets = staged(likely_in(base, own, "_key").join(own, "_key").mapInArrow(_set_rows, "node long, tokens array<long>"), "live-sets")
     joined = _with_both(pairs, sets, ["tokens"]).withColumn("_both", F.size(F.array_intersect("tokens_a", "tokens_b")))
     near = F.col("_both") * 100 >= (F.size("tokens_a") + F.size("tokens_b") - F.col("_both")) * PERCENT
     return staged(joined.filter(near).select("a", "b").distinct(), "links")
@@ -303,7 +306,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     result; further columns are ignored.
     """
     base = docs.select("doc_id", text_of().alias("text"), row_key().alias("_key"))
-    survey = staged(base.mapInArrow(_survey, "doc_id long, key long, n long, digest binary, chunk int, counters binary"), "shingle-survey")
+    with small_batches(base.sparkSession):
+        survey = staged(base.mapInArrow(_survey, "doc_id long, key long, n long, digest binary, chunk int, counters binary"), "shingle-survey")
     rows = survey.filter("n IS NOT NULL").select("doc_id", "key", "n", "digest")
     counters = np.zeros(1 << SKETCH_BITS, np.int64)
     for r in survey.filter("chunk IS NOT NULL").select("chunk", "counters").repartition("chunk").mapInArrow(_add_counters, "chunk int, counters binary").collect():  # fixed size
@@ -312,7 +316,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     keyed = base.mapInArrow(_index_rows(classes), "key long, digest binary, n long, keys array<long>, bits array<long>").filter("digest IS NOT NULL")
     nodes = keyed.groupBy("digest").agg(F.min("key").alias("key"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
-    nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "shingle-nodes")
+    with small_batches(base.sparkSession):
+        nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "shingle-nodes")
     index = nodes.select(F.explode("keys").alias("k"), "node")
     shared = staged(index.groupBy("k").agg(F.count("*").alias("m"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("m > 1"), "shared-keys")
     live = staged(likely_in(index, shared, "k").join(shared, "k"), "live-keys")

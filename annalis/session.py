@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Most bytes of rows that a task hands to Python at once.
+BATCH_BYTES = 2 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def build_session(app: str = "annalis", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -48,3 +55,18 @@ def staged(df: DataFrame, label: str, **options: object) -> DataFrame:
     path = shared_folder(df.sparkSession, label)
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside hand their rows to Python in batches of about BATCH_BYTES at most.
+
+    Spark's own limit is a number of rows, so that whole texts of a file make one batch, which
+    a task holds several times over.
+    """
+    before = spark.conf.get(_BATCH, None)
+    spark.conf.set(_BATCH, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before) if before is not None else spark.conf.unset(_BATCH)

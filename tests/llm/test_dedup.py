@@ -144,6 +144,28 @@ def test_large_groups_make_no_row_per_pair(make, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(make(rows)).collect()) == found
 
 
+def test_whole_texts_reach_python_in_small_batches(spark, make, monkeypatch):
+    from annalis import session
+
+    import pyarrow as pa
+
+    setting, seen, plainly = "spark.sql.execution.arrow.maxBytesPerBatch", {}, ngram_join.staged
+    before = spark.conf.get(setting)
+    monkeypatch.setattr(ngram_join, "staged", lambda df, label: seen.setdefault(label, spark.conf.get(setting)) and plainly(df, label))
+    ngram_join.near_duplicates(make(corpus())).collect()
+    assert {seen[x] for x in ("shingle-survey", "shingle-nodes", "live-sets")} == {str(session.BATCH_BYTES)}
+    assert {seen[x] for x in ("live-keys", "links")} == {before} and spark.conf.get(setting) == before
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.nbytes])], ["n"])
+
+    monkeypatch.setattr(session, "BATCH_BYTES", 100_000)
+    with session.small_batches(spark):
+        found = [r.n for r in make([(k, "x" * 10_000) for k in range(200)]).mapInArrow(sizes, "n long").collect()]
+    assert max(found) < 150_000 and sum(found) > 2_000_000
+
+
 def test_tiles_lose_no_similar_pair():
     import pyarrow as pa
 
