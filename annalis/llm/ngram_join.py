@@ -17,7 +17,7 @@ Frequency classes come from counters of hashed tokens over the whole corpus: SKE
 fix their number, and a token counts as frequent if its counter stands out of the mean load
 by more than chance allows. Any classes give the same links; they only save work.
 
-Documents with equal sets are one node. Each index key links its nodes to the smallest and
+Documents with equal sets are one node, and keys with the same nodes are one. Each index key links its nodes to the smallest and
 the largest of them, and nodes left over to a few random ones; links are verified on whole
 sets. Nodes that are then in one component need no further comparison. What is left is
 exact: all pairs of different components that share a key are verified, too, unless sizes,
@@ -32,7 +32,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annalis.llm.common import U64, WordHashes, join_counted, keep_rows, likely_in, mix, rolling, row_key, text_of, texts
@@ -45,7 +45,7 @@ SKETCH_BITS = 20
 #: Further rounds in which nodes outside the main component of their keys try random nodes of these keys.
 PIVOT_ROUNDS, PIVOTS = 1, 6
 #: Keys of more nodes are compared by tiles of at most about twice TILE nodes.
-LARGE, TILE = 32, 1 << 13
+LARGE, TILE = 16, 1 << 13
 _CHUNK = 1 << 12
 #: Tokens that a task holds before it counts them.
 _COUNTED = 1 << 18
@@ -269,12 +269,25 @@ def _near_in_large(label: DataFrame, nodes: DataFrame) -> DataFrame:
     own = staged(label.select("lo", "node", "c", "c0", "n", "upper").distinct(), "large-keys")
     parts = own.groupBy("lo").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
     cells = own.join(parts, "lo").withColumn("cell", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    bits = nodes.select("node", "bits").join(own.select("node").distinct(), "node", "left_semi")
+    bits = likely_in(nodes.select("node", "bits"), own, "node")
     met = cells.join(bits, "node").withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     met = met.select("lo", F.least("cell", "_other").alias("i"), F.greatest("cell", "_other").alias("j"), "cell", "node", "c", "c0", "n", "upper", "bits")
     return met.groupBy("lo", "i", "j").applyInArrow(_near_in_tile, "a long, b long").distinct()
 
 
+def _live_keys(index: DataFrame) -> DataFrame:
+    """(k, node, lo, hi, m, rare) of the keys of ``index`` with m > 1 nodes, by one shuffle.
+
+    Keys with the same nodes get one new name ``k``, as a passage has many keys and each would
+    pair the same nodes again. Should two lists of nodes get the same name, they are one key
+    of both, which only adds pairs to compare.
+    """
+    own = Window.partitionBy("k")
+    all_ = F.bit_xor(F.xxhash64("node")).over(own)
+    listed = index.select("k", "node", F.min("node").over(own).alias("lo"), F.max("node").over(own).alias("hi"), F.count("*").over(own).alias("m"), all_.alias("_all"))
+    return listed.filter("lo < hi").select(F.xxhash64("lo", "hi", "m", "_all").alias("k"), "node", "lo", "hi", "m", (F.col("k") % 2 == 0).alias("rare"))
+
+
 def _strays(postings: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Postings of the keys whose nodes are in several components, and those of them outside the component of ``lo``."""
     label = postings.join(known, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
@@ -318,15 +331,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = keyed.groupBy("digest").agg(F.min("key").alias("key"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
     with small_batches(base.sparkSession):
         nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "shingle-nodes")
-    index = nodes.select(F.explode("keys").alias("k"), "node")
-    shared = staged(index.groupBy("k").agg(F.count("*").alias("m"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("m > 1"), "shared-keys")
-    live = staged(likely_in(index, shared, "k").join(shared, "k"), "live-keys")
-    counts = live.groupBy("node").agg(F.sum((F.col("k") % 2 == 0).cast("long")).alias("_live"))
+    live = staged(_live_keys(nodes.select(F.explode("keys").alias("k"), "node")), "live-keys")
+    counts = live.groupBy("node").agg(F.sum(F.col("rare").cast("long")).alias("_live"))
     rare = F.size(F.filter("keys", lambda k: k % 2 == 0))
     facts = staged(nodes.select("node", "n", rare.alias("_rare")).join(counts, "node").select("node", "n", (F.col("n") - F.col("_rare") + F.col("_live")).alias("upper")), "live-facts")
-    postings = staged(live.filter("m > 2").join(facts, "node").select("k", "node", "n", "upper", "lo", "hi", "m"), "postings")
+    postings = staged(live.filter("m > 2").join(facts, "node").select("k", "node", "n", "upper", "lo", "hi", "m").distinct(), "postings")
 
-    first = shared.select(F.col("lo").alias("a"), F.col("hi").alias("b"))
+    first = live.filter("node = lo").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
     for end in ("lo", "hi"):
         first = first.unionByName(postings.select(F.col("node").alias("a"), F.col(end).alias("b")))
     first = _possible(first, nodes, facts)

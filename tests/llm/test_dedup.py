@@ -144,6 +144,24 @@ def test_large_groups_make_no_row_per_pair(make, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(make(rows)).collect()) == found
 
 
+def test_keys_with_the_same_nodes_are_one(make, monkeypatch):
+    """A passage of many tokens pairs the documents that have it once, not once for each token."""
+    counts, plainly = {}, ngram_join.staged
+
+    def counted(df, label):
+        out = plainly(df, label)
+        counts.setdefault(label, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "staged", counted)
+    rng = random.Random(5)
+    text = sentence(rng, 300, 10**6)
+    rows = [(k, " ".join([*text, f"e{k}"])) for k in range(6)] + [(10 + k, " ".join(sentence(rng, 100, 10**6))) for k in range(5)]
+    found = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(make(rows)).collect())
+    assert found == components(rows) and len({c for _, _, c in found}) == 6
+    assert counts["live-keys"][0] > 200 and counts["postings"] == [6]
+
+
 def test_whole_texts_reach_python_in_small_batches(spark, make, monkeypatch):
     from annalis import session
 
