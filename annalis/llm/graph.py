@@ -26,19 +26,23 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("a <> b").distinct()
 
 
-def components(links: DataFrame, label: str = "components") -> DataFrame:
+def _settled(edges: DataFrame) -> bool:
+    """If every node has one edge to a smaller one at most, and none if it is the smaller end of another."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR (up = 1 AND down = 1)").isEmpty()
+
+
+def components(links: DataFrame, label: str = "components", known: DataFrame | None = None) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b: long, a <> b); the component is its smallest node.
 
-    Rounds go on until the edges no longer change; every round is written to the shared
-    folder. Empty links give an empty table.
+    ``known`` are components found before, which go on from there: their nodes are in the result,
+    too. Rounds go on until the edges are stars around the smallest nodes; every round is
+    written to the shared folder. Empty links give an empty table.
     """
-    state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    if known is not None:
+        links = links.select("a", "b").unionByName(known.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
     edges = staged(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
-    before = state(edges)
-    while True:
+    while not _settled(edges):
         edges = staged(_star(_star(edges, True), False), label)
-        if (now := state(edges)) == before:
-            break
-        before = now
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

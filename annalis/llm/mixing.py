@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annalis.llm.common import WORD, global_rank, join_counted, row_key, text_of
-from annalis.session import staged
+from annalis.session import staged, staged_alone
 
 BLOCK = 128
 WEIGHTS = (5, 2, 1)
@@ -126,21 +126,19 @@ def taken_words(docs: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """``docs`` as the mix takes them, with the same columns.
 
-    A document comes once for every pass that takes words of it. A part of a document keeps
     A document comes once for every pass that takes words of it, in the order of the first slot
-    that does. A part to the last one taken, joined by spaces; n_chars then tells its length.
+    that does. A part of a document keeps its text up to the last word taken, joined by
+    spaces; n_chars then tells its length.
     """
-    _, _, pieces = mix_sources(docs)
-    passes = pieces.groupBy("row", "_key", "pass").agg(F.max(F.col("start") + F.col("length")).alias("_upto"), F.min("slot").alias("_slot"))
-    passes = staged(passes.select("_key", "row", "_upto", "_slot"), "passes")
-    own = docs.withColumn("_key", row_key())
-    repeated = passes.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("_upto", "_slot")), False).alias("_uptos"), F.countDistinct("row").alias("_same"))
-    joined = own.join(repeated, "_key")
+
+    def passes() -> DataFrame:
+        _, _, pieces = mix_sources(docs)
+        return pieces.groupBy("row", "_key", "pass").agg(F.max(F.col("start") + F.col("length")).alias("_upto"), F.min("slot").alias("_slot")).select("_key", "row", "_upto", "_slot")
+
+    repeated = staged_alone(passes, "passes").groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("_upto", "_slot")), False).alias("_uptos"), F.countDistinct("row").alias("_same"))
     # rows that repeat share their passes: each takes its own slice of the list
     nth = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(1))) - 1
-    many = joined.filter("_same > 1").withColumn("_nth", nth)
-    one = joined.filter("_same = 1").withColumn("_nth", F.lit(0))
-    both = one.unionByName(many)
+    both = docs.withColumn("_key", row_key()).join(repeated, "_key").withColumn("_nth", nth)
     each = F.filter(F.transform("_uptos", lambda x, i: F.when(F.pmod(i, F.col("_same")) == F.col("_nth"), x)), lambda x: x.isNotNull())
     out = both.withColumn("_pass", F.explode(each)).withColumn("_upto", F.col("_pass._upto")).withColumn("_slot", F.col("_pass._slot")).withColumn("_size", F.regexp_count(F.col("text"), F.lit(WORD)))
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")

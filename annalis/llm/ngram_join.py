@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from annalis.llm.common import U64, WordHashes, join_counted, keep_rows, likely_in, mix, rolling, row_key, text_of, texts
 from annalis.llm.graph import components
-from annalis.session import small_batches, staged
+from annalis.session import small_batches, staged, staged_alone
 
 WORDS = 5
 PERCENT = 80
@@ -351,8 +351,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         drawn = drawn.select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array(*[f"_p{i}" for i in range(PIVOTS)]))).alias("b"))
         drawn = staged(_possible(drawn, nodes, facts).join(first, ["a", "b"], "left_anti"), "drawn-pairs")
         first = first.unionByName(drawn)
-        links = staged(links.unionByName(_verified(drawn, nodes, base)), "links-so-far")
-        known = components(links)
+        linked = _verified(drawn, nodes, base)
+        links = staged(links.unionByName(linked), "links-so-far")
+        known = components(linked, known=known)
     label, stray = _strays(postings, known)
     small = F.col("m") <= LARGE
     one = stray.filter(small).select("k", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("n").alias("_na"), F.col("upper").alias("_la"))
@@ -360,8 +361,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     cross = one.join(rest, "k").filter("ca <> cb AND (cb = c0 OR a < b)").filter(_may_link((F.col("_na"), F.col("_la")), (F.col("_nb"), F.col("_lb")))).select("a", "b")
     cross = _possible(cross, nodes, facts).unionByName(_near_in_large(label.filter(~small), nodes)).distinct()
     cross = staged(cross.join(first, ["a", "b"], "left_anti"), "cross-pairs")
-    more = staged(links.unionByName(_verified(cross, nodes, base)), "all-links")
-    found = components(more)
+    crossed = _verified(cross, nodes, base)
+    more = staged(links.unionByName(crossed), "all-links")
+    found = components(crossed, known=known)
 
     degree = more.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     named = nodes.select("node", "digest", "rows").join(found, "node", "left").join(degree, "node", "left")
@@ -376,8 +378,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest doc_id, then row key."""
-    found = staged(near_duplicates(docs), "near-duplicates")
-    best = found.filter("component IS NOT NULL").groupBy("component").agg(F.min_by("_key", F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("_key"))
-    kept = best.select("_key").unionByName(found.filter("component IS NULL").select("_key").distinct())
-    copies = found.groupBy("_key").agg(F.count("*").alias("_copies"))
-    return keep_rows(docs, staged(copies.join(kept.withColumn("_kept", F.lit(True)), "_key", "left").fillna(False, "_kept"), "keys"))
+
+    def keys() -> DataFrame:
+        found = staged_alone(lambda: near_duplicates(docs), "near-duplicates")
+        best = found.filter("component IS NOT NULL").groupBy("component").agg(F.min_by("_key", F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("_key"))
+        kept = best.select("_key").unionByName(found.filter("component IS NULL").select("_key").distinct())
+        copies = found.groupBy("_key").agg(F.count("*").alias("_copies"))
+        return copies.join(kept.withColumn("_kept", F.lit(True)), "_key", "left").fillna(False, "_kept")
+
+    return keep_rows(docs, staged_alone(keys, "keys"))

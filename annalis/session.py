@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Most bytes of rows that a task hands to Python at once.
 BATCH_BYTES = 2 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Paths staged for the table that ``staged_alone`` builds just now.
+_STEPS: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("staged steps", default=None)
 
 
 def build_session(app: str = "annalis", master: str | None = None, **conf: str) -> SparkSession:
@@ -53,10 +56,30 @@ def staged(df: DataFrame, label: str, **options: object) -> DataFrame:
     reads, and no step computes the table a second time.
     """
     path = shared_folder(df.sparkSession, label)
+    if (steps := _STEPS.get()) is not None:
+        steps.append(path)
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def staged_alone(build: Callable[[], DataFrame], label: str) -> DataFrame:
+    """The table of ``build``, staged; the tables that were staged to build it are deleted then.
+
+    Only this table may be read afterwards, so ``build`` must hand out none of its steps.
+    """
+    steps: list[str] = []
+    token = _STEPS.set(steps)
+    try:
+        df = build()
+    finally:
+        _STEPS.reset(token)
+    out = staged(df, label)
+    spark = out.sparkSession
+    for path in map(spark._jvm.org.apache.hadoop.fs.Path, steps):
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return out
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
     """Tables written inside hand their rows to Python in batches of about BATCH_BYTES at most.

@@ -310,3 +310,18 @@ def test_parity_bitmaps_bound_the_difference_of_sets(spark):
         found = df.select("real", ngram_join._differing(df[x], df[y]).alias("bits")).collect()
         assert all(r.bits <= r.real and (r.real - r.bits) % 2 == 0 for r in found)
         assert sum(r.bits for r in found) > 0.6 * sum(r.real for r in found)
+
+
+def test_components_go_on_from_known_ones_and_write_no_round_too_many(spark, monkeypatch):
+    from annalis.llm import graph
+
+    labels = []
+    monkeypatch.setattr(graph, "staged", lambda df, label, f=graph.staged: labels.append(label) or f(df, label))
+    of = lambda df: sorted(map(tuple, df.collect()))
+    links = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    stars = graph.components(links([(1, 5), (7, 1), (2, 9)]))
+    assert of(stars) == [(1, 1), (2, 2), (5, 1), (7, 1), (9, 2)] and len(labels) == 1
+    assert of(graph.components(links([]), known=stars)) == of(stars) and len(labels) == 2
+    assert of(graph.components(links([(9, 5), (20, 21)]), known=stars)) == [(k, 1) for k in (1, 2, 5, 7, 9)] + [(20, 20), (21, 20)]
+    assert of(graph.components(links([(k, k + 1) for k in range(40)]))) == [(k, 0) for k in range(41)]
+    assert of(graph.components(links([]))) == []

@@ -114,6 +114,29 @@ def test_mixed_documents_are_in_the_order_of_their_slots(make):
     assert len(order) > 100 and order == sorted(order) and not any(slots.values())
 
 
+def test_stages_leave_one_small_table_behind(make, tmp_path, monkeypatch):
+    from annalis import session
+    from annalis.llm import ngram_join
+
+    names = (f"{k}-" for k in range(10_000))
+    monkeypatch.setattr(session, "shared_folder", lambda spark, label: f"{tmp_path}/{next(names)}{label}")
+    rows = [(k, " ".join(f"w{(k % 30) * 50 + i}" for i in range(40)) + f" x{k // 30}", "en", "abc"[k % 3]) for k in range(60)] + [(60, "one two", "en", None), (60, "one two", "en", None)]
+    kept = ngram_join.drop_near_copies(make(rows))
+    assert [p.name.split("-", 1)[1] for p in tmp_path.iterdir()] == ["keys"]
+    assert kept.count() == 31
+    docs = make(rows)
+    taken = {}
+    for r in mixing.mix_sources(docs)[2].groupBy("doc_id", "row", "pass").agg({"length": "sum"}).collect():
+        taken.setdefault(r.doc_id, []).append(r[3])
+    before = set(tmp_path.iterdir())
+    mixed = mixing.mixed_documents(docs)
+    assert [p.name.split("-", 1)[1] for p in set(tmp_path.iterdir()) - before] == ["passes"]
+    found = {}
+    for r in mixed.collect():
+        found.setdefault(r.doc_id, []).append(len(r.text.split()))
+    assert {k: len(v) for k, v in found.items()} == {k: len(v) for k, v in taken.items()}
+
+
 def test_slots_keep_the_shares_in_every_stretch(make):
     rows = [(k, "w " * 100, "en", "abc"[k % 3]) for k in range(900)]
     _, target, pieces = mixing.mix_sources(make(rows))
