@@ -93,7 +93,7 @@ def global_rank(df: DataFrame, order: list[Column], name: str, label: str) -> Da
 class WordHashes(dict):
     """64-bit hash of each word; keeps a bounded number of them."""
 
-    LIMIT = 1 << 18
+    LIMIT = 1 << 16
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

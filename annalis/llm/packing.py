@@ -27,10 +27,9 @@ OPEN = 64
 MERGED = 256
 END = 1
 #: Texts that are tokenized at once.
-AT_ONCE = 1024
+AT_ONCE = 256
 
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, part long, ids binary"
-_TOKENIZERS: dict[str, WordTokens] = {}
 MARKS = b".,!?;:*#$%&"
 _LETTER, _MARK, _IN_WORD = np.zeros(256, bool), np.zeros(256, bool), np.ones(256, bool)
 _LETTER[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = True
@@ -41,11 +40,14 @@ _IN_WORD[list(b" \t\n\v\f\r")] = False
 class WordTokens(dict):
     """Token ids of the parts of texts as 16-bit bytes; keeps a bounded number of them.
 
+    When there are too many, those of the texts at hand stay, as most of the others never come again.
     The tokenizer lower-cases, drops white space and never joins text across it, nor a letter
     with the marks of MARKS behind it, so that a text's ids are those of its parts in order.
     """
 
-    LIMIT = 1 << 20
+    LIMIT = 1 << 18
+    #: Words that the tokenizer holds at once.
+    ENCODED = 1 << 13
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -62,12 +64,13 @@ class WordTokens(dict):
             word = part.decode()
             simple = word.isalpha() and word == word.lower() and unicodedata.is_normalized("NFC", word)
             (plain if simple else rest).append((part, word))
-        if plain:  # one pre-token each, as it stands
-            found = self.letters.encode([w for _, w in plain], is_pretokenized=True, add_special_tokens=False)
-            ids, cuts = np.array(found.ids, np.uint16).tobytes(), 2 * np.searchsorted(np.array(found.word_ids), np.arange(len(plain) + 1))
-            self.update((part, ids[x:y]) for (part, _), x, y in zip(plain, cuts.tolist(), cuts[1:].tolist()))
-        for (part, _), found in zip(rest, self.whole.encode_batch([w for _, w in rest], add_special_tokens=False), strict=True):
-            self[part] = np.array(found.ids, np.uint16).tobytes()
+        for some in (plain[k : k + self.ENCODED] for k in range(0, len(plain), self.ENCODED)):  # one pre-token each, as it stands
+            found = self.letters.encode([w for _, w in some], is_pretokenized=True, add_special_tokens=False)
+            ids, cuts = np.array(found.ids, np.uint16).tobytes(), 2 * np.searchsorted(np.array(found.word_ids), np.arange(len(some) + 1))
+            self.update((part, ids[x:y]) for (part, _), x, y in zip(some, cuts.tolist(), cuts[1:].tolist()))
+        for some in (rest[k : k + self.ENCODED] for k in range(0, len(rest), self.ENCODED)):
+            for (part, _), found in zip(some, self.whole.encode_batch([w for _, w in some], add_special_tokens=False), strict=True):
+                self[part] = np.array(found.ids, np.uint16).tobytes()
 
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
         """Token ids of each text, END behind them. Distinct words are looked up once and expanded by their numbers."""
@@ -86,8 +89,9 @@ class WordTokens(dict):
         names = words.dictionary.to_pylist()
         new = {w for w in names if w not in self}
         if len(self) + len(new) > self.LIMIT:
+            known = {w: self[w] for w in names if w in self}
             self.clear()
-            new = set(names)
+            self.update(known)
         if new:
             self._encode(list(new))
         known = [self[w] for w in names] + [END.to_bytes(2, "little")]
@@ -100,12 +104,6 @@ class WordTokens(dict):
         return np.split(flat[at], reach[behind + np.arange(len(texts))][:-1])
 
 
-def _tokenizer(path: str) -> WordTokens:
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokens(path)
-    return _TOKENIZERS[path]
-
-
 class Piece:
     __slots__ = ("doc_id", "start", "ids", "total")
 
@@ -181,7 +179,8 @@ def _rows(windows: list[list[Piece]], first: int, part: int, keep: bool = False)
 
 def _pack(path: str):
     def run(batches):
-        tokens, packer, part, n = _tokenizer(path), Packer(), TaskContext.get().partitionId(), 0
+        # the task's own, so that they go with it: what a function's module holds waits for Python's garbage collector
+        tokens, packer, part, n = WordTokens(path), Packer(), TaskContext.get().partitionId(), 0
         base = part << 36
         for batch in batches:
             out = []

@@ -34,6 +34,45 @@ def check_packing(found, want):
     return padding
 
 
+def test_tokens_go_with_their_task(monkeypatch):
+    """A worker must not have the tokens of tasks that ended beside those of its next one."""
+    import gc
+    from types import SimpleNamespace
+
+    import public_tokenizers
+    import pyarrow as pa
+    from pyspark import TaskContext, cloudpickle
+
+    def held():
+        return sum(type(x).__name__ == "WordTokens" for x in gc.get_objects())
+
+    monkeypatch.setattr(TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    task = cloudpickle.dumps(packing._pack(str(public_tokenizers.path("word_bpe_49k.json"))))
+    batch = pa.record_batch([pa.array([1, 2]), pa.array(["some words", None])], ["doc_id", "text"])
+    gc.collect()
+    gc.disable()
+    try:
+        before = held()
+        assert sum(b.num_rows for b in cloudpickle.loads(task)(iter([batch]))) == 2
+        assert held() == before
+    finally:
+        gc.enable()
+
+
+def test_known_words_stay_when_there_are_too_many(monkeypatch):
+    import public_tokenizers
+
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [f"always the same and word{chr(97 + k) * 9} é{k}.".encode() for k in range(20)]
+    want = [packing.WordTokens(path).ids([t])[0].tolist() for t in texts]
+    monkeypatch.setattr(packing.WordTokens, "LIMIT", 16)
+    tokens, asked = packing.WordTokens(path), []
+    encode = tokens._encode
+    tokens._encode = lambda parts: (asked.extend(parts), encode(parts))
+    assert [tokens.ids([t])[0].tolist() for t in texts] == want
+    assert asked.count(b"always") == 1 and len(tokens) <= 16
+
+
 def test_packing(make):
     import public_tokenizers
     from tokenizers import Tokenizer
