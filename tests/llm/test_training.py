@@ -1,5 +1,7 @@
 """Packing, mixing and the pipeline."""
 
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -34,29 +36,30 @@ def check_packing(found, want):
     return padding
 
 
-def test_tokens_go_with_their_task(monkeypatch):
-    """A worker must not have the tokens of tasks that ended beside those of its next one."""
-    import gc
-    from types import SimpleNamespace
+ENDED_TASK = """
+import gc, sys
+from types import SimpleNamespace
+import pyarrow as pa
+from pyspark import TaskContext, cloudpickle
+
+TaskContext.get = lambda: SimpleNamespace(partitionId=lambda: 0)
+batch = pa.record_batch([pa.array([1, 2]), pa.array(["some words", None])], ["doc_id", "text"])
+task = cloudpickle.loads(sys.stdin.buffer.read())
+gc.disable()
+rows = sum(b.num_rows for b in task(iter([batch])))
+del task
+print(rows, sum(type(x).__name__ == "WordTokens" for x in gc.get_objects()))
+"""
 
-    import public_tokenizers
-    import pyarrow as pa
-    from pyspark import TaskContext, cloudpickle
 
-    def held():
-        return sum(type(x).__name__ == "WordTokens" for x in gc.get_objects())
+def test_tokens_go_with_their_task():
+    """A worker must not have the tokens of tasks that ended beside those of its next one."""
+    import public_tokenizers
+    from pyspark import cloudpickle
 
-    monkeypatch.setattr(TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
     task = cloudpickle.dumps(packing._pack(str(public_tokenizers.path("word_bpe_49k.json"))))
-    batch = pa.record_batch([pa.array([1, 2]), pa.array(["some words", None])], ["doc_id", "text"])
-    gc.collect()
-    gc.disable()
-    try:
-        before = held()
-        assert sum(b.num_rows for b in cloudpickle.loads(task)(iter([batch]))) == 2
-        assert held() == before
-    finally:
-        gc.enable()
+    ended = subprocess.run([sys.executable, "-c", ENDED_TASK], input=task, capture_output=True, check=True)
+    assert ended.stdout.split() == [b"2", b"0"], ended.stderr
 
 
 def test_known_words_stay_when_there_are_too_many(monkeypatch):
